@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fold, read
 from .exact_dedup import exact_dedup
+from .lang_id import identify, train
 from .line_dedup import line_dedup
 from .mixing import mix
 from .packing import pack_documents
+from .quality_rank import rank_quality
 from .quality_rules import quality_rules
+from .toxicity import score_toxicity
+from .url_filter import filter_urls
 
 
 def vocabulary() -> str:
@@ -21,6 +25,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,12 +51,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, train(docs), ["doc_id"]).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_packing, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rank, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_packing, op8_toxicity, op9_language_id, op10_mixing)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
