@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .quality_rank import rank_quality
 from .quality_rules import quality_rules
+from .shingle_join import shingle_components
 from .toxicity import score_toxicity
 from .url_filter import filter_urls
 
@@ -29,6 +30,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -65,11 +70,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_quality_rank, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_packing, op8_toxicity, op9_language_id, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_quality_rank, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_packing, op8_toxicity, op9_language_id, op10_mixing)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": rf"""
+        with recursive
+             a as (select doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+             g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                          else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from a),
+             n as (select doc_id, count(*) as n from g group by doc_id),
+             p as (select x.doc_id as a, y.doc_id as b, count(*) as o from g x join g y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+             l as materialized (select a, b from p join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * o >= 75 * (na.n + nb.n - o)),
+             e as materialized (select a, b from l union all select b, a from l),
+             r as (select doc_id, doc_id as m from documents union select e.b, r.m from r join e on e.a = r.doc_id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r.m) as component_id
+        from documents d left join n using (doc_id) join r using (doc_id) group by 1, 2""",
     "op4_exact_dedup": f"""
         with t as (select doc_id, {LOWER.format("coalesce(text, '')")} as x from documents)
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
