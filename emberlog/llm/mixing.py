@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, text_of, word_count
@@ -129,3 +129,19 @@ def _mix(sized: DataFrame, bucket_docs: int) -> DataFrame:
     kind = rows.schema["source"].dataType.simpleString()
     out = rows.withColumn("tilted", F.col("rate")).groupBy("source", "bucket").applyInPandas(_diffuse, f"doc_id long, source {kind}, size long, source_size long, target double, tilted double, copies int")
     return out.withColumnRenamed("tilted", "rate")
+
+
+def mixed_documents(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all its columns.
+
+    Rows alike in doc_id, source and size share their copies out by rank, so repeated rows work too.
+    """
+    keys = ["doc_id", "source", "size"]
+    same = lambda by: F.row_number().over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy(by))
+    sized = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": word_count(text_of())})
+    taken = _mix(sized.select(*[F.col(f"__{k}").alias(k) for k in keys]), bucket_docs).where("copies > 0")
+    taken = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], "copies").withColumn("__rank", same(F.desc("copies")))
+    taken = taken.select(*[F.col(f"__{k}").alias(f"__t_{k}") for k in (*keys, "rank")], "copies")
+    ranked = sized.withColumn("__rank", same(F.xxhash64(text_of())))
+    both = ranked.join(taken.withColumnRenamed("copies", "__copies"), F.expr(" and ".join(f"__{k} <=> __t_{k}" for k in (*keys, "rank"))))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

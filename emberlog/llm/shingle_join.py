@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, staged, text_of
@@ -392,3 +392,17 @@ def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: in
     smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     class_of = placed.join(smallest, "comp").select(F.col("cid").alias("c"), "component_id")
     return run.members.select("doc_id", "n", "cid").join(class_of, F.col("cid") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the document of least doc_id stays, whole.
+
+    Rows that share a doc_id stay or go together, identical repeats of them once. Texts without words, and
+    rows without doc_id, stay.
+    """
+    comps = shingle_components(docs, width)
+    kept = comps.where("n_shingles = 0 or component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    repeats = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(1))
+    once = stay.withColumn("__repeat", F.row_number().over(repeats)).where("__repeat = 1").drop("__repeat")
+    return once.unionByName(docs.where("doc_id is null"))
