@@ -1,0 +1 @@
+"""emberlog: a log store and search engine on Spark DataFrames."""
