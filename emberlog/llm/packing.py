@@ -9,7 +9,9 @@ nowhere is cut at the roomiest slot.
 
 from __future__ import annotations
 
+import gc
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,41 +23,71 @@ from .common import text_of
 
 #: Token id that ends a document.
 END_ID = 1
-#: Bound on the chunk cache of one Python worker.
-CACHE_CHUNKS = 400_000
+#: Bound on each cache of one Python worker.
+CACHE_CHUNKS = 600_000
 
 _WORKER: dict = {}
 _UNEVEN = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class ChunkEncoder:
     """Token ids as little-endian uint32 bytes. A byte-level vocabulary never merges across a single space
-    between two non-space characters, so texts are cut there and equal chunks are encoded once."""
+    between two non-space characters, so texts are cut there and equal chunks are encoded once; new chunks
+    are cut into the vocabulary's own pieces, which its model encodes once as well."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        whole = Tokenizer.from_file(path)
+        if whole.normalizer is not None or type(whole.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("a byte-level vocabulary without normalizer is needed")
+        self.split, self.model, self.letters = whole.pre_tokenizer.pre_tokenize_str, whole.model, _byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        if _UNEVEN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """All but the first chunk without the space that begins them."""
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def _piece(self, mapped: str) -> bytes:
+        ids = self.pieces.get(mapped)
+        if ids is None:
+            ids = self.pieces[mapped] = pack(f"<{len(found := self.model.tokenize(mapped))}I", *[t.id for t in found])
+        return ids
+
+    def _mapped(self, piece: str) -> str:
+        return piece.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _chunk(self, chunk: str) -> bytes:
+        # Letters, or letters and one mark, are one piece or two; anything else is cut by the vocabulary's rule.
+        word = chunk.removeprefix(" ")
+        if word.isalpha():
+            return self._piece(self._mapped(chunk))
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._piece(self._mapped(chunk[:-1])) + self._piece(word[-1])
+        return b"".join(self._piece(piece) for piece, _ in self.split(chunk))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        missing = list({c for chunks in cut for c in chunks} - self.cache.keys())
-        for c, e in zip(missing, self.model.encode_batch(missing, add_special_tokens=False)):
-            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        for cache in (self.cache, self.pieces):
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
+        firsts = [self._chunk(chunks.pop(0)) for chunks in cut]
+        gc.disable()  # millions of small strings and no cycles
+        for chunk in [c for c in set().union(*cut) if c not in self.cache]:
+            self.cache[chunk] = self._chunk(" " + chunk)
+        gc.enable()
         get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        return [first + b"".join(map(get, chunks)) for first, chunks in zip(firsts, cut)]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -101,7 +133,7 @@ def _packer(path: str, length: int, block_tokens: int, linear: float, quadratic:
         rows = [(docs[d][0], s, n, len(docs[d][1]) // 4, first + slot, o, docs[d][1][4 * s : 4 * (s + n)]) for d, s, n, slot, o in pieces]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KIND.types)], schema=KIND)
 
-    def pack(batches):
+    def run(batches):
         model, first, held, tokens = encoder(path), TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
@@ -116,7 +148,7 @@ def _packer(path: str, length: int, block_tokens: int, linear: float, quadratic:
         if held:
             yield flush(held, first)
 
-    return pack
+    return run
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, block_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
