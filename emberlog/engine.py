@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, StringType, StructType
 
 from .operators import index, ingest, maintenance
 from .operators.cache import PageCache
@@ -29,7 +29,7 @@ class LogEngine:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def table(self) -> DataFrame:
-        schema = StructType(LOG_SCHEMA.fields).add("tokens", "array<string>").add("event_date", "date").add("shard_id", "int")
+        schema = StructType(list(LOG_SCHEMA.fields)).add("tokens", ArrayType(StringType())).add("event_date", DateType()).add("shard_id", IntegerType())
         if not self._exists():
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(self.path)

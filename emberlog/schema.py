@@ -32,7 +32,7 @@ def normalise(df: DataFrame) -> DataFrame:
     for field in LOG_SCHEMA:
         kind = field.dataType.simpleString()
         own = F.col(field.name).cast(kind) if field.name in df.columns else F.lit(None).cast(kind)
-        zero = F.lit("") if kind == "string" else F.lit(0).cast("long") if kind == "bigint" else F.from_json(F.lit("{}"), field.dataType)
+        zero = F.lit("") if kind == "string" else F.lit(0).cast("long") if kind == "bigint" else F.map_from_arrays(*[F.array().cast("array<string>")] * 2)
         out.append(F.coalesce(own, zero).alias(field.name))
     return df.select(*out)
 

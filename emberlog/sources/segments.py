@@ -177,7 +177,7 @@ class SegmentSource(DataSource):
         return "segments"
 
     def schema(self) -> StructType:
-        return StructType(LOG_SCHEMA.fields).add("segment", "string").add("position", "long")
+        return StructType(list(LOG_SCHEMA.fields)).add("segment", "string").add("position", "long")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         path = self.options["path"]
