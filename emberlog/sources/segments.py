@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from ..schema import LOG_SCHEMA
+from ..ship import ship
 
 # Fixed values of the format: the largest record, and field numbers by column.
 MAX_RECORD = 64 << 20
@@ -188,11 +189,13 @@ class SegmentSource(DataSource):
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(SegmentSource)
     return spark.read.format("segments").option("path", path).load()
 
 
 def write_segments(df: DataFrame, path: str, max_bytes: int = 64 << 20) -> None:
+    ship(df.sparkSession)
     df.sparkSession.dataSource.register(SegmentSource)
     df.select(*LOG_SCHEMA.fieldNames()).write.format("segments").option("path", path).option("maxBytes", str(max_bytes)).mode("append").save()
 
