@@ -20,27 +20,9 @@ from .common import staged, text_of, word_count
 LIMIT = 3
 
 
-def water_fill(sizes: list[tuple], limit: float = LIMIT, weights: tuple = (1, 2, 3)) -> list[float]:
-    """Targets for sources given in order as (name, size): shares by repeating weights, capped, excess reshared."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    total, capped = float(sum(n for _, n in sizes)), set()
-    while True:
-        open_ = [i for i in range(len(sizes)) if i not in capped]
-        left = total - sum(limit * sizes[i][1] for i in capped)
-        over = sum(w[i] for i in open_)
-        share = {i: left * w[i] / over for i in open_} if over else {}
-        new = {i for i in open_ if share[i] > limit * sizes[i][1]}
-        if not new:
-            return [share.get(i, float(limit * sizes[i][1])) for i in range(len(sizes))]
-        capped |= new
-
-
-def _targets(sources: DataFrame) -> DataFrame:
-    """Add ``target`` to (source, source_size), on a table of one row per source, in code-point order, null last.
-
-    The water level is found by sorting sources by their fill ratio: all below the level are capped. Only the
-    sums per ratio are needed, so the work is a sort of the source table, never of documents.
-    """
+def _weighted(sources: DataFrame) -> DataFrame:
+    """Add the weight (1, 2, 3, repeating) to (source, source_size) in code-point order, null last. The table has
+    one row per source and is numbered by a distributed sort, not by a window over all rows."""
     spark = sources.sparkSession
     ordered = sources.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex()
     kinds = sources.select("source", "source_size").schema
@@ -51,7 +33,7 @@ def _targets(sources: DataFrame) -> DataFrame:
 def source_targets(sized: DataFrame, limit: float = LIMIT) -> DataFrame:
     """(source, docs, source_size, weight, target) for rows (source, size); sources stay distributed."""
     sources = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-sums")
-    ranked = _targets(sources)
+    ranked = _weighted(sources)
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     capped = F.lit(False)
     while True:
@@ -110,10 +92,10 @@ def _diffuse(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
     """Decide how often each document is taken so that each source's words come near its target.
 
-    Returns one row per input row: row, doc_id, source, size, source_size, target, rate, copies. Size is the
+    Returns one row per input row: doc_id, source, size, source_size, target, rate, copies. Size is the
     number of words; null text has none and is taken no times. Null is a source of its own, the last. Repeated
-    rows are weighed each for itself. ``row`` numbers the rows of ``docs`` as read and isn't stable between
-    reads of different layout. An empty table gives no rows; other columns are ignored.
+    rows are weighed each for itself. Reruns agree, whatever the layout. An empty table gives no rows; other
+    columns are ignored.
     """
     return _mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(text_of()).alias("size")), bucket_docs)
 
