@@ -1,4 +1,4 @@
-"""LogEngine: one stored log table with ingest, search, index, compaction and retention."""
+"""LogStore: one stored log table with ingest, search, index, compaction and retention."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .operators.search import LogQuery, QueryResult, first_by_id, matching, run
 from .schema import COLUMNS, DAY_NS, DEFAULT_SHARDS, LOG_SCHEMA
 
 
-class LogEngine:
+class LogStore:
     """Entries lie as Parquet under ``path`` by event_date and shard_id, so that time ranges and tenant-and-
     service searches list only their folders. Ids are unique in the table: ingest drops those it holds."""
 
@@ -104,8 +104,8 @@ class LogEngine:
         self.version += bool(gone)
         return len(gone)
 
-    def compact(self, target: str) -> "LogEngine":
+    def compact(self, target: str) -> "LogStore":
         """Rewrite into ``target`` with one file a day and shard (split at the row bound); swap by using the result."""
         self.table().repartition("event_date", "shard_id").sortWithinPartitions("event_date", "shard_id", "timestamp_ns", "id").write.mode("overwrite").option("maxRecordsPerFile", self.max_rows).partitionBy("event_date", "shard_id").parquet(target)
-        return LogEngine(self.spark, target, self.shards, self.cache, self.max_rows)
+        return LogStore(self.spark, target, self.shards, self.cache, self.max_rows)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, shard_of
-from .language import And, Field, Node, Or, Term, lower_term
+from .language import And, Field, Node, Term, lower_term
 
 _TEXT_FIELDS = {"level", "service", "namespace", "message"}
 
@@ -70,6 +70,3 @@ def parameters(namespace: str = "", service: str = "", start_ns: int = 0, end_ns
                 day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(bound // 86_400_000_000_000))
                 out &= (F.col("event_date") <= day) if under else (F.col("event_date") >= day)
     return out
-
-
-__all__ = ["And", "Or", "field_equals", "has_token", "parameters", "predicate"]

@@ -1,4 +1,4 @@
-"""Streaming ingest: files or any stream of entries into a LogEngine, exactly once by id."""
+"""Streaming ingest: files or any stream of entries into a LogStore, exactly once by id."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..engine import LogEngine
+from ..engine import LogStore
 from ..schema import LOG_SCHEMA
 
 
@@ -19,7 +19,7 @@ def file_stream(spark: SparkSession, folder: str, kind: str = "json") -> DataFra
     return spark.readStream.schema(nullable_schema()).format(kind).load(folder)
 
 
-def ingest_stream(entries: DataFrame, engine: LogEngine, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest_stream(entries: DataFrame, engine: LogStore, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append a stream's valid entries. Batches are deduplicated against the table, so a batch replayed after a
     failure adds nothing; no watermark is used, so entries of any timestamp, zero included, are kept."""
 

@@ -27,12 +27,12 @@ def test_entry_and_registry(spark):
 
 
 def test_plans_prune_and_push_down(spark, tmp_path):
-    from emberlog.engine import LogEngine
+    from emberlog.engine import LogStore
     from emberlog.operators.search import LogQuery, page
     from emberlog.sources.views import raw_logs
 
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
-    engine = LogEngine(spark, str(tmp_path / "logs"))
+    engine = LogStore(spark, str(tmp_path / "logs"))
     engine.ingest_batch(raw_logs(spark, f"{DATA}/sf0.001"))
     found = page(engine.find(LogQuery("error", "team-beta", "api", start_ns=catalogue.JAN[2], end_ns=catalogue.JAN[9])).select("id", "timestamp_ns"), 10)
     plan = found._jdf.queryExecution().executedPlan().toString()

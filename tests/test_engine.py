@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from emberlog.engine import LogEngine
+from emberlog.engine import LogStore
 from emberlog.functions.text import fnv1a32, folded, shard_of, tokenize
 from emberlog.operators import cluster, index, ingest, maintenance
 from emberlog.operators.cache import PageCache
@@ -26,7 +26,7 @@ def make(spark, *rows):
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return LogEngine(spark, str(tmp_path / "logs"))
+    return LogStore(spark, str(tmp_path / "logs"))
 
 
 def ids(result):
