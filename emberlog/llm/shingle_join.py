@@ -7,7 +7,8 @@ Every text is a set of hashed 5-word shingles. Texts with one set form a class;
 2. Partition: two sets that link share a shingle among the first n/4 + 1 of each in one global order (rare by
    the sketch first), so each class is sent to the partitions of those. Shingles held by one class end there.
 3. Contraction: each class is tried against one pivot, the smallest class of the partition that it shares
-   most shingles with. This is linear in the input and melts groups of near copies into components.
+   most shingles with, in a few turns with other pivots. A turn is linear in the input; they melt groups of
+   near copies into components.
 4. Join: partitions that hold several components index the count vectors of their classes in an R-tree. The
    sum over coordinates of the smaller maxima bounds the overlap of two nodes, the sum of the smaller counts
    that of two classes; surviving pairs of different components are verified on the whole sets.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, text_of
+from .common import batch_rows, partitions, staged, text_of
 from .components import components
 
 #: Coordinates of a count vector.
@@ -49,7 +50,7 @@ class _Words(dict):
         return value
 
     def trim(self) -> None:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
 
 
@@ -211,11 +212,13 @@ def _bounded(batches):
 
 
 class RTree:
-    """Packed R-tree over count vectors: entries by size, then by their heaviest coordinates; nodes hold the
-    coordinate maxima, the least and largest size and, if all entries below share one, their component."""
+    """Packed R-tree over count vectors: entries by size, then by their heaviest coordinates, but components
+    that fill nodes of their own lie apart; nodes hold the coordinate maxima, the least and largest size and,
+    if all entries below share one, their component, as pairs within a component need no look."""
 
     def __init__(self, vec: np.ndarray, n: np.ndarray, comp: np.ndarray):
-        self.order = np.lexsort((vec.argmax(1), n))
+        _, at, members = np.unique(comp, return_inverse=True, return_counts=True)
+        self.order = np.lexsort((vec.argmax(1), n, np.where(members[at] >= FAN, at + 1, 0)))
         level = (vec[self.order], n[self.order], n[self.order], comp[self.order], np.ones(len(n), bool))
         self.levels = [level]
         while len(level[0]) > 1:
@@ -231,9 +234,9 @@ class RTree:
         keep = np.zeros(len(i), bool)
         for at in range(0, len(i), 8192):
             x, y = i[at : at + 8192], j[at : at + 8192]
-            apart = ~(pa_[x] & pb[y] & (ca[x] == cb[y]))
-            bound = np.minimum(np.minimum(va[x], vb[y]).sum(1), np.minimum(ha[x], hb[y]))
-            keep[at : at + 8192] = apart & may_link(bound, la[x] + lb[y])
+            near = may_link(np.minimum(ha[x], hb[y]), la[x] + lb[y]) & ~(pa_[x] & pb[y] & (ca[x] == cb[y]))
+            near[near] = may_link(np.minimum(va[x[near]], vb[y[near]]).sum(1), la[x[near]] + lb[y[near]])
+            keep[at : at + 8192] = near
         return i[keep], j[keep]
 
     def join(self, other: "RTree"):
@@ -289,26 +292,17 @@ def _tiles(batches):
         yield from solve(held)
 
 
-def _overlap(batches):
-    """Keep pairs whose whole sets link."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            x, y = (x, y) if len(x) < len(y) else (y, x)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[at] == x).sum())
-            keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-
 class ShingleJoin:
     """One run of the join over ``docs``; ``classes``, ``links`` and ``members`` are its results."""
 
-    def __init__(self, docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048):
-        self.spark, self.width, self.hot, self.tile = docs.sparkSession, width, hot, tile
+    def __init__(self, docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048, turns: int = 4):
+        self.spark, self.width, self.hot, self.tile, self.turns = docs.sparkSession, width, hot, tile, turns
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-        self.seed = 0
+        self.seed, self.sets = 0, None
+        with batch_rows(self.spark, 1000):
+            self._run()
+
+    def _run(self) -> None:
         while True:
             self.members, sketch = self._profile()
             self.classes = staged(
@@ -340,27 +334,56 @@ class ShingleJoin:
     def _links(self) -> DataFrame:
         own = self.classes.select("cid", "n", "vec")
         side = lambda x: own.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("vec").alias(f"vec_{x}"))
-        pivots = self.shared.groupBy("key").agg(F.min("cid").alias("b"))
-        tried = self.shared.join(pivots, "key").where("cid <> b").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("common"))
-        possible = tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long, common long")
-        best = staged(possible.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b"), "join-pivots")
-        first = self.verified(best)
-        comps = components(first)
-        placed = self.shared.join(comps, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        links, comps = None, None
+        for turn in range(self.turns):
+            placed = self._placed(comps)
+            # Turning bits of the keys over makes another class the smallest each turn.
+            mask = F.lit(int(mixed(np.array([turn], np.uint64)).view(np.int64)[0]))
+            split = placed.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(mask)).alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+            pivots = self._placed(comps, split.select("key", F.col("low").bitwiseXOR(mask).alias("cid"))).select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
+            tried = placed.join(pivots, "key").where("comp <> comp_b").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("common"))
+            possible = tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long, common long")
+            best = staged(possible.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b"), "join-pivots")
+            found = self.verified(best)
+            if not found.limit(1).count():
+                break
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
+        placed = self._placed(comps)
         mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", F.ceil(F.col("m") / self.tile).cast("int").alias("s"))
         entries = placed.join(mixed_keys, "key").withColumn("i", F.pmod("cid", "s").cast("int"))
         # A key with more classes than a tile holds is split: every two parts meet in one tile.
         spread = entries.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), (F.col("i") > F.col("j")).cast("int").alias("side"), "cid", "comp")
         rows = spread.join(own, "cid").select("tile", "side", "cid", "comp", "n", "vec")
         rest = rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct()
-        return staged(first.unionByName(self.verified(staged(rest, "join-candidates"))), "join-links")
+        last = self.verified(staged(rest, "join-candidates"))
+        return staged(last if links is None else links.unionByName(last), "join-links")
+
+    def _placed(self, comps: DataFrame | None, rows: DataFrame | None = None) -> DataFrame:
+        """(key, cid) rows, by default all shared ones, with the component reached so far."""
+        rows = self.shared if rows is None else rows
+        if comps is None:
+            return rows.select("key", "cid", F.col("cid").alias("comp"))
+        return rows.join(comps, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of class keys whose sets link, staged."""
         nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("cid"), "cid", "left_anti")
         wanted = staged(nodes.join(self.classes.select("cid", "rep"), "cid"), "join-nodes")
-        ids = wanted.select(F.col("rep").alias("r")).distinct()
-        if wanted.count() * 16 <= SEND_BYTES:
+        if new := wanted.count():
+            self._fetch(wanted.select(F.col("rep").alias("r")).distinct(), new)
+        if self.sets is None:  # no pairs
+            return pairs
+        side = lambda x: self.sets.select(F.col("cid").alias(x), F.col("own").alias(f"set_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        return staged(both.where(100 * common >= 75 * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "join-verified")
+
+    def _fetch(self, ids: DataFrame, count: int) -> None:
+        """Add the whole sets of the documents with these ids; sets once fetched serve all later turns."""
+        if count * 16 <= SEND_BYTES:
             ids = F.broadcast(ids)
         seed, width = self.seed, self.width
 
@@ -369,15 +392,16 @@ class ShingleJoin:
                 own = [shingles(t, width) for t in batch.column("text").to_pylist()]
                 _WORDS.trim()
                 own = [x for x in own if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(x, seed) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cid", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_key(x, seed) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["cid", "own"])
 
-        found = self.docs.join(ids, F.expr("doc_id <=> r")).select("text").mapInArrow(sets, "cid long, own binary").dropDuplicates(["cid"])
+        found = self.docs.join(ids, F.expr("doc_id <=> r")).select("text").mapInArrow(sets, "cid long, own array<long>").dropDuplicates(["cid"])
+        if self.sets is not None:
+            found = found.join(self.sets.select("cid"), "cid", "left_anti")
         found = staged(found, "join-sets")
-        both = pairs.join(found.select(F.col("cid").alias("a"), F.col("own").alias("set_a")), "a").join(found.select(F.col("cid").alias("b"), F.col("own").alias("set_b")), "b")
-        return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_overlap, "a long, b long"), "join-verified")
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
 
 
-def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048) -> DataFrame:
+def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048, turns: int = 4) -> DataFrame:
     """Join documents whose sets of ``width``-word shingles have Jaccard similarity of 0.75 or more.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
@@ -386,7 +410,7 @@ def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: in
     doc_id is never the smallest, unless all of a component are null. An empty table gives no rows; other
     columns are ignored. Links inside a component that a pivot already joined aren't enumerated.
     """
-    run = ShingleJoin(docs, width, hot, tile)
+    run = ShingleJoin(docs, width, hot, tile, turns)
     comps = components(run.links)
     placed = run.classes.select("cid", "rep").join(comps, F.col("cid") == F.col("id"), "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
