@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import batch_rows, partitions, staged, text_of
 from .components import components
 
-#: Coordinates of a count vector.
-GROUPS = 128
+#: Hash groups of a count vector. Counts are held to a byte each; what is over is summed in one more coordinate,
+#: so the summed minima of two vectors stay an upper bound of their overlap.
+GROUPS, MOST = 512, 255
 #: Cells of the sketch, and cells sent in one piece.
 CELLS, PIECE = 1 << 22, 1 << 16
 #: A shingle whose sketch cell counted more than this may have too many classes for one task.
@@ -81,8 +82,16 @@ def class_key(own: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes(), seed) - (1 << 63)
 
 
-def _vector(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+def _vector(own: np.ndarray) -> bytes:
+    counts = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
+    kept = np.minimum(counts, MOST)
+    return kept.astype(np.uint8).tobytes() + (counts - kept).sum().astype("<u4").tobytes()
+
+
+def _vectors(column) -> np.ndarray:
+    """(rows, GROUPS + 1) coordinates."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS + 4)
+    return np.concatenate([raw[:, :GROUPS].astype(np.int32), np.ascontiguousarray(raw[:, GROUPS:]).view("<u4").astype(np.int32)], 1)
 
 
 def _profiles(seed: int, width: int):
@@ -98,7 +107,7 @@ def _profiles(seed: int, width: int):
                 some = len(own) > 0
                 cid.append(class_key(own, seed) if some else None)
                 proof.append(xxhash.xxh3_128_digest(own.tobytes(), 1) if some else None)
-                vec.append(_vector(own).astype("<u4").tobytes() if some else None)
+                vec.append(_vector(own) if some else None)
                 cells.append(own & np.uint64(CELLS - 1))
                 waiting += len(own)
                 if waiting >= PIECE * 16:
@@ -193,10 +202,6 @@ def _pairs_batch(own: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[:, 0].astype(np.int64)), pa.array(own[:, 1].astype(np.int64))], ["key", "cid"])
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int32).reshape(-1, GROUPS)
-
-
 def may_link(bound: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether an overlap of ``bound`` would link sets of ``sizes`` shingles together: J >= 3/4."""
     return 7 * bound.astype(np.int64) >= 3 * sizes
@@ -232,11 +237,11 @@ class RTree:
         va, la, ha, ca, pa_ = self.levels[depth]
         vb, lb, hb, cb, pb = other.levels[depth]
         keep = np.zeros(len(i), bool)
-        for at in range(0, len(i), 8192):
-            x, y = i[at : at + 8192], j[at : at + 8192]
+        for at in range(0, len(i), 2048):
+            x, y = i[at : at + 2048], j[at : at + 2048]
             near = may_link(np.minimum(ha[x], hb[y]), la[x] + lb[y]) & ~(pa_[x] & pb[y] & (ca[x] == cb[y]))
             near[near] = may_link(np.minimum(va[x[near]], vb[y[near]]).sum(1), la[x[near]] + lb[y[near]])
-            keep[at : at + 8192] = near
+            keep[at : at + 2048] = near
         return i[keep], j[keep]
 
     def join(self, other: "RTree"):
@@ -350,12 +355,18 @@ class ShingleJoin:
             links = found if links is None else links.unionByName(found)
             comps = components(links)
         placed = self._placed(comps)
-        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", F.ceil(F.col("m") / self.tile).cast("int").alias("s"))
-        entries = placed.join(mixed_keys, "key").withColumn("i", F.pmod("cid", "s").cast("int"))
+        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", "m", F.ceil(F.col("m") / self.tile).cast("int").alias("s"))
+        entries = staged(placed.join(mixed_keys, "key"), "join-entries")
+        # A key of no more classes than a node holds is one leaf: its pairs, mostly the same few, are compared at once.
+        leaf = entries.where(F.col("m") <= FAN).select("key", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
+        again = leaf.select("key", F.col("a").alias("b"), F.col("comp_a").alias("comp_b"))
+        pairs = leaf.join(again, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct().withColumn("common", F.lit(1).cast("long"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long, common long").select("a", "b")
+        entries = entries.where(F.col("m") > FAN).withColumn("i", F.pmod("cid", "s").cast("int"))
         # A key with more classes than a tile holds is split: every two parts meet in one tile.
         spread = entries.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), (F.col("i") > F.col("j")).cast("int").alias("side"), "cid", "comp")
         rows = spread.join(own, "cid").select("tile", "side", "cid", "comp", "n", "vec")
-        rest = rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").distinct()
+        rest = rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").unionByName(near).distinct()
         last = self.verified(staged(rest, "join-candidates"))
         return staged(last if links is None else links.unionByName(last), "join-links")
 
