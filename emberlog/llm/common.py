@@ -6,7 +6,6 @@ import atexit
 import string
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from ..ship import ship
 
 #: A run of white space as every word rule here means it.
 WHITE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -31,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for the Python operators: the package reaches the workers, and Arrow batches of long
+    texts stay small, in the JVM and in Python."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/emberlog/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop_path, spark, path)
@@ -53,18 +63,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Hold Arrow batches to so many rows for the jobs run inside: bounds what Python and the JVM buffer of long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body`` (a lambda variable is never inlined)."""
     return F.element_at(F.transform(F.array(value), body), 1)

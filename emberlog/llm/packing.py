@@ -19,8 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
-from .common import text_of
+from .common import prepare, text_of
 
 #: Token id that ends a document.
 END_ID = 1
@@ -160,6 +159,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, block_t
     null doc_id stays null. Texts of any length are cut freely. An empty table gives no rows; other columns
     are ignored.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(_packer(vocabulary, length, block_tokens, linear, quadratic), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

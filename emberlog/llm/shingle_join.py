@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, partitions, staged, text_of
+from .common import partitions, prepare, staged, text_of
 from .components import components
 
 #: Hash groups of a count vector. Counts are held to a byte each; what is over is summed in one more coordinate,
@@ -304,10 +304,7 @@ class ShingleJoin:
         self.spark, self.width, self.hot, self.tile, self.turns = docs.sparkSession, width, hot, tile, turns
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
         self.seed, self.sets = 0, None
-        with batch_rows(self.spark, 1000):
-            self._run()
-
-    def _run(self) -> None:
+        prepare(self.spark)
         while True:
             self.members, sketch = self._profile()
             self.classes = staged(
