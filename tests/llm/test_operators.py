@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -409,3 +410,41 @@ def test_url_mining_finds_planted_combinations(spark):
         assert r.verdict == ("block" if r.host.startswith("ads") and r.path.startswith("/promo") else "allow")
     rules = url_filter.RuleIndex([(frozenset({"a", "b"}), "block", 0.9, 0.1), (frozenset({"a"}), "allow", 0.8, 0.5)])
     assert rules.match(["a", "b"]) == 0 and rules.match(["a"]) == 1 and rules.match(["b"]) is None
+
+
+def brute_rules(rows, enough, confidence):
+    """Rules (tokens, verdict, confidence) of all token sets of (url, verdict) rows, then those that no part of equal confidence makes needless."""
+    counts = defaultdict(Counter)
+    for url, verdict in rows:
+        own = url_filter.tokens(url)
+        for k in range(1, len(own) + 1):
+            for s in combinations(own, k):
+                counts[s][verdict] += 1
+    raw = {(frozenset(s), v): n / c.total() for s, c in counts.items() for v, n in c.items() if n >= enough and n / c.total() >= confidence}
+    parts = lambda s: (frozenset(p) for k in range(1, len(s)) for p in combinations(s, k))
+    return {(s, v, x) for (s, v), x in raw.items() if not any(raw.get((p, v), 0) >= x for p in parts(s))}
+
+
+def test_url_mining_same_as_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        ads, promo, keys = rng.random() < 0.5, rng.random() < 0.5, [k for k in "xy" if rng.random() < 0.7]
+        url = f"https://{'ads' if ads else 'www'}.site{rng.randrange(2)}.net/{'promo' if promo else 'news'}?{'&'.join(keys)}"
+        rows.append((url, "block" if rng.random() < 0.1 + 0.3 * ads + 0.3 * promo * len(keys) else "allow"))
+    have = url_filter.mine(spark.createDataFrame(rows, "url string, verdict string"))
+    want = brute_rules(rows, 20, 0.6)
+    assert len(want) > 20 and {r[:3] for r in have} == want and len(have) == len(want)
+    sure = max(want, key=lambda r: r[2])
+    assert url_filter.RuleIndex(have).rules[0][2] == sure[2]
+
+
+def test_url_mining_reaches_long_combinations(spark):
+    # Sixteen hosts of four parts, so over 10,000 raw rules are shorter than the one of all five keys.
+    rng = random.Random(9)
+    rows = []
+    for i in range(800):
+        h, keys = i % 16, [k for k in "vwxyz" if rng.random() < 0.9]
+        rows.append((f"http://h{h}.a{h}.b{h}.net/p{h}?{'&'.join(keys)}", "block" if len(keys) == 5 else "allow"))
+    rules = {(s, v): x for s, v, x, _ in url_filter.mine(spark.createDataFrame(rows, "url string, verdict string"))}
+    assert rules[frozenset("key=" + k for k in "vwxyz"), "block"] == 1.0
