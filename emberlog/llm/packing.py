@@ -41,15 +41,21 @@ def _byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Token ids as little-endian uint32 bytes. A byte-level vocabulary never merges across a single space
     between two non-space characters, so texts are cut there and equal chunks are encoded once; new chunks
-    are cut into the vocabulary's own pieces, which its model encodes once as well."""
+    are cut into the vocabulary's own pieces, which its model encodes once as well. Texts that hold an added
+    token go through the tokenizer whole; with ``encode_special_tokens``, special ones are read as plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         if whole.normalizer is not None or type(whole.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level vocabulary without normalizer is needed")
         self.split, self.model, self.letters = whole.pre_tokenizer.pre_tokenize_str, whole.model, _byte_letters()
+        whole.no_truncation()
+        whole.no_padding()
+        whole.encode_special_tokens = encode_special_tokens
+        self.whole = whole
+        self.added = [t.content for t in whole.get_added_tokens_decoder().values() if not (t.special and encode_special_tokens)]
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -77,6 +83,17 @@ class ChunkEncoder:
         return b"".join(self._piece(piece) for piece, _ in self.split(chunk))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not any(a in t for a in self.added for t in texts):
+            return self._plain(texts)
+        held = [any(a in t for a in self.added) for t in texts]
+        plain = iter(self._plain([t for t, h in zip(texts, held) if not h]))
+        return [self._whole(t) if h else next(plain) for t, h in zip(texts, held)]
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
         for cache in (self.cache, self.pieces):
             if len(cache) > CACHE_CHUNKS:
@@ -92,7 +109,7 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     if path not in _WORKER:
-        _WORKER[path] = ChunkEncoder(path)
+        _WORKER[path] = ChunkEncoder(path, encode_special_tokens=False)
     return _WORKER[path]
 
 
@@ -156,7 +173,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, block_t
 
     Returns one row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian
     uint32). Null text is empty: such a document is its end token. Repeated rows are packed once each; a
-    null doc_id stays null. Texts of any length are cut freely. An empty table gives no rows; other columns
+    null doc_id stays null. Added tokens of the vocabulary in a text get their own ids, as Tokenizer.encode gives
+    by default. Texts of any length are cut freely. An empty table gives no rows; other columns
     are ignored.
     """
     prepare(docs.sparkSession)

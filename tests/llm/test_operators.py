@@ -183,6 +183,19 @@ def test_packing_encoder_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_reads_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(vocabulary())
+    texts = ["end of it <|endoftext|> next page", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext| >", "plain  text", None]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary()).collect()
+    for d, text in enumerate(texts):
+        own = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.start)
+        want = [*model.encode(text or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == want and {r.doc_tokens for r in own} == {len(want)}
+    assert 50256 in model.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 900, 3000).tolist()
