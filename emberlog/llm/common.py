@@ -14,8 +14,8 @@ from ..ship import ship
 
 #: A run of white space as every word rule here means it.
 WHITE = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -39,6 +39,7 @@ def prepare(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

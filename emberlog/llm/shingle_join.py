@@ -2,18 +2,20 @@
 
 Every text is a set of hashed 5-word shingles. Texts with one set form a class; classes are what is joined.
 
-1. Profile: set size, class key and the count vector (shingles by hash group) of each text; beside it a sketch
-   of how common shingles are, an array of fixed size.
-2. Partition: two sets that link share a shingle among the first n/4 + 1 of each in one global order (rare by
-   the sketch first), so each class is sent to the partitions of those. Shingles held by one class end there.
-3. Contraction: each class is tried against one pivot, the smallest class of the partition that it shares
-   most shingles with, in a few turns with other pivots. A turn is linear in the input; they melt groups of
-   near copies into components.
-4. Join: partitions that hold several components index the count vectors of their classes in an R-tree. The
-   sum over coordinates of the smaller maxima bounds the overlap of two nodes, the sum of the smaller counts
-   that of two classes; surviving pairs of different components are verified on the whole sets.
-
-No link between components is lost: the order, the bounds and the verification are exact.
+1. Profile: set size and class key of each text; beside it a sketch of how common shingles are, an array of
+   fixed size.
+2. Keys: two sets that link share a shingle among the first n/4 + 1 of each in one global order (rare by the
+   sketch first). Shingles of that kind that two classes hold are the keys; other classes link with nothing.
+3. Tiles: the upper nodes of the forest. Classes that share keys with one least class lie in one tile of
+   bounded size. A task takes a tile, counts each set's shingles by hash group and indexes the counts as
+   points in an R-tree. The sum over coordinates of the smaller maxima bounds the overlap of two nodes, the sum
+   of the smaller counts that of two classes; surviving pairs are verified on the whole sets at once, and
+   pairs whose components have met are skipped. So near copies melt, and a tile sends out one row for each
+   component that joined another.
+4. Across: least classes of what is left meet between the tiles of one label, then tiles that share a key
+   whose holders are still of several components meet, with the components carried along.
+
+No link between components is lost: the order, the bounds and the verification are exact on the hashed sets.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import partitions, prepare, staged, text_of
 from .components import components
 
-#: Hash groups of a count vector. Counts are held to a byte each; what is over is summed in one more coordinate,
-#: so the summed minima of two vectors stay an upper bound of their overlap.
-GROUPS, MOST = 512, 255
+#: Hash groups of a tile's count vectors: about one for two shingles of its largest set, within these.
+FEWEST_GROUPS, MOST_GROUPS = 256, 1 << 15
+#: Classes of a tile, and bytes of their sets, at most (one set may be larger).
+TILE, TILE_BYTES = 256, 16 << 20
 #: Cells of the sketch, and cells sent in one piece.
 CELLS, PIECE = 1 << 22, 1 << 16
 #: A shingle whose sketch cell counted more than this may have too many classes for one task.
@@ -40,6 +43,8 @@ HOT = 1 << 15
 FAN = 16
 #: Sides up to this many bytes are sent to all executors; larger ones are joined by shuffle.
 SEND_BYTES = 16 << 20
+#: Bytes of a row of class keys and tile names, about.
+ROW_BYTES = 96
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,46 +87,45 @@ def class_key(own: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes(), seed) - (1 << 63)
 
 
-def _vector(own: np.ndarray) -> bytes:
-    counts = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
-    kept = np.minimum(counts, MOST)
-    return kept.astype(np.uint8).tobytes() + (counts - kept).sum().astype("<u4").tobytes()
+def group_count(size: int) -> int:
+    """Hash groups for sets of up to ``size`` shingles, a power of two."""
+    return min(MOST_GROUPS, max(FEWEST_GROUPS, 1 << max(0, (size // 2 - 1).bit_length())))
 
 
-def _vectors(column) -> np.ndarray:
-    """(rows, GROUPS + 1) coordinates."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS + 4)
-    return np.concatenate([raw[:, :GROUPS].astype(np.int32), np.ascontiguousarray(raw[:, GROUPS:]).view("<u4").astype(np.int32)], 1)
+def count_vector(own: np.ndarray, groups: int) -> np.ndarray:
+    """Shingles by hash group: summed minima of two such vectors are an upper bound of the overlap."""
+    return np.bincount((own >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def _profiles(seed: int, width: int):
-    names = ["doc_id", "n", "cid", "proof", "vec", "piece", "cells"]
+    names = ["doc_id", "h", "n", "cid", "proof", "piece", "cells"]
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            n, cid, proof, vec, cells, waiting = [], [], [], [], [], 0
+            n, cid, proof, cells, waiting = [], [], [], [], 0
             for text in batch.column("text").to_pylist():
                 own = shingles(text, width)
                 n.append(len(own))
                 some = len(own) > 0
                 cid.append(class_key(own, seed) if some else None)
                 proof.append(xxhash.xxh3_128_digest(own.tobytes(), 1) if some else None)
-                vec.append(_vector(own) if some else None)
                 cells.append(own & np.uint64(CELLS - 1))
                 waiting += len(own)
-                if waiting >= PIECE * 16:
-                    counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                if waiting >= PIECE:
+                    np.add.at(counts, np.concatenate(cells).astype(np.int64), np.uint32(1))
                     cells, waiting = [], 0
             if cells:
-                counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(counts, np.concatenate(cells).astype(np.int64), np.uint32(1))
             _WORDS.trim()
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(proof, pa.binary()), pa.array(vec, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(proof, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         for piece in range(CELLS // PIECE):
             own = counts[piece * PIECE : (piece + 1) * PIECE]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([piece], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
+                nulls = [pa.array([None], f) for f in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array([piece], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -202,18 +206,9 @@ def _pairs_batch(own: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[:, 0].astype(np.int64)), pa.array(own[:, 1].astype(np.int64))], ["key", "cid"])
 
 
-def may_link(bound: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def may_link(bound, sizes):
     """Whether an overlap of ``bound`` would link sets of ``sizes`` shingles together: J >= 3/4."""
-    return 7 * bound.astype(np.int64) >= 3 * sizes
-
-
-def _bounded(batches):
-    """Pairs whose count vectors leave a link possible."""
-    for batch in batches:
-        a, b = _vectors(batch.column("vec_a")), _vectors(batch.column("vec_b"))
-        sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        keep = may_link(np.minimum(a, b).sum(1), sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "common")], ["a", "b", "common"])
+    return 7 * bound >= 3 * sizes
 
 
 class RTree:
@@ -224,6 +219,7 @@ class RTree:
     def __init__(self, vec: np.ndarray, n: np.ndarray, comp: np.ndarray):
         _, at, members = np.unique(comp, return_inverse=True, return_counts=True)
         self.order = np.lexsort((vec.argmax(1), n, np.where(members[at] >= FAN, at + 1, 0)))
+        self.chunk = max(16, (1 << 20) // vec.shape[1])
         level = (vec[self.order], n[self.order], n[self.order], comp[self.order], np.ones(len(n), bool))
         self.levels = [level]
         while len(level[0]) > 1:
@@ -237,11 +233,11 @@ class RTree:
         va, la, ha, ca, pa_ = self.levels[depth]
         vb, lb, hb, cb, pb = other.levels[depth]
         keep = np.zeros(len(i), bool)
-        for at in range(0, len(i), 2048):
-            x, y = i[at : at + 2048], j[at : at + 2048]
+        for at in range(0, len(i), self.chunk):
+            x, y = i[at : at + self.chunk], j[at : at + self.chunk]
             near = may_link(np.minimum(ha[x], hb[y]), la[x] + lb[y]) & ~(pa_[x] & pb[y] & (ca[x] == cb[y]))
             near[near] = may_link(np.minimum(va[x[near]], vb[y[near]]).sum(1), la[x[near]] + lb[y[near]])
-            keep[at : at + 2048] = near
+            keep[at : at + self.chunk] = near
         return i[keep], j[keep]
 
     def join(self, other: "RTree"):
@@ -269,61 +265,81 @@ class RTree:
                 waiting.append((depth - 1, xs[real], ys[real]))
 
 
+def join_tile(cid: np.ndarray, comp: np.ndarray, side: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(old, new) components of one tile's entries after its R-tree join. With rows of both sides only pairs across are
+    looked at. A pair is verified on the whole sets, unless its components have met already; so a group of m near
+    copies costs m - 1 links."""
+    sizes = np.array([len(x) for x in own], np.int64)
+    groups = group_count(int(sizes.max()))
+    vec = np.stack([count_vector(x, groups) for x in own])
+    old, now = np.unique(comp, return_inverse=True)
+    now = now.copy()
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = RTree(vec[first], sizes[first], now[first])
+    two, ours = (RTree(vec[second], sizes[second], now[second]), second) if len(second) else (one, first)
+    for i, j in one.join(two):
+        i, j = first[i], ours[j]
+        apart = now[i] != now[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+            a, b = now[x], now[y]
+            if a != b and may_link(np.intersect1d(own[x], own[y], True).size, sizes[x] + sizes[y]):
+                now[now == max(a, b)] = min(a, b)
+    start = np.searchsorted(old, comp)
+    _, at = np.unique(start, return_index=True)
+    return old, old[now[at]]
+
+
 def _tiles(batches):
-    """R-tree join within each tile; rows come sorted by tile. Yields pairs (a, b) with a < b."""
-
-    def solve(parts):
-        cid, n, comp, side = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("cid", "n", "comp", "side"))
-        vec = np.concatenate([_vectors(p["vec"]) for p in parts])
-        first, second = side == 0, side == 1
-        one = RTree(vec[first], n[first], comp[first])
-        two = RTree(vec[second], n[second], comp[second]) if second.any() else one
-        c1, c2 = cid[first], cid[second] if second.any() else cid[first]
-        for i, j in one.join(two):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c1[i], c2[j])), pa.array(np.maximum(c1[i], c2[j]))], ["a", "b"])
+    """Joins each tile; rows come sorted by tile. Yields (a, b): component b is now part of component a."""
+
+    def solve(rows):
+        cid = np.array([r[0] for r in rows])
+        _, once = np.unique(cid, return_index=True)  # a representative's row may be repeated
+        rows = [rows[i] for i in once]
+        if len(rows) < 2:
+            return
+        old, new = join_tile(cid[once], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[3], np.uint64) for r in rows])
+        moved = old != new
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(new[moved]), pa.array(old[moved])], ["a", "b"])
 
     held, tile = [], None
     for batch in batches:
-        tiles = batch.column("tile").to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]])) if len(tiles) else []
-        for at, end in zip(cuts, [*cuts[1:], len(tiles)]):
-            if tiles[at] != tile and held:
-                yield from solve(held)
-                held = []
-            tile = tiles[at]
-            part = batch.slice(int(at), int(end - at))
-            held.append({c: part.column(c) for c in ("cid", "n", "comp", "side", "vec")})
-    if held:
-        yield from solve(held)
+        for row_tile, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "cid", "comp", "side", "own"))):
+            if row_tile != tile:
+                yield from solve(held) if held else ()
+                held, tile = [], row_tile
+            held.append(row)
+    yield from solve(held) if held else ()
+    pa.default_memory_pool().release_unused()
 
 
 class ShingleJoin:
-    """One run of the join over ``docs``; ``classes``, ``links`` and ``members`` are its results."""
+    """One run of the join over ``docs``. ``members`` has a row for each document (doc_id, n, cid), ``placed`` one
+    for each class that shares a prefix shingle (cid, comp: the least class of its component)."""
 
-    def __init__(self, docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048, turns: int = 4):
-        self.spark, self.width, self.hot, self.tile, self.turns = docs.sparkSession, width, hot, tile, turns
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-        self.seed, self.sets = 0, None
+    def __init__(self, docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = TILE):
+        self.spark, self.width, self.hot, self.tile = docs.sparkSession, width, hot, tile
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("h"))
+        self.seed = 0
         prepare(self.spark)
         while True:
             self.members, sketch = self._profile()
-            self.classes = staged(
-                self.members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("vec").alias("vec"), F.min("proof").alias("p0"), F.max("proof").alias("p1")),
-                "join-classes",
-            )
+            some = self.members.where("cid is not null").groupBy("cid")
+            self.classes = staged(some.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("rep"), F.min("n").alias("n"), F.min("proof").alias("p0"), F.max("proof").alias("p1")), "join-classes")
             if not self.classes.where("p0 <> p1").limit(1).count():
                 break
             self.seed += 1  # two sets with one key: draw keys anew
         self.shared = self._shared(sketch)
-        self.links = self._links()
+        self.placed = self._across(self._merge(self._place()))
 
     def _profile(self):
-        rows = staged(self.docs.mapInArrow(_profiles(self.seed, self.width), "doc_id long, n long, cid long, proof binary, vec binary, piece int, cells binary"), "join-profile")
+        rows = staged(self.docs.mapInArrow(_profiles(self.seed, self.width), "doc_id long, h long, n long, cid long, proof binary, piece int, cells binary"), "join-profile")
         ranks = np.zeros(CELLS, np.uint8)
         summed = rows.where("piece is not null").select("piece", "cells").repartition(partitions(self.spark), "piece").mapInArrow(_sum_cells, "piece int, ranks binary")
         for r in summed.collect():  # CELLS bytes, whatever the input
             ranks[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.ranks, np.uint8)
-        return rows.where("piece is null").select("doc_id", "n", "cid", "proof", "vec"), ranks
+        return rows.where("piece is null").select("doc_id", "h", "n", "cid", "proof"), ranks
 
     def _shared(self, ranks: np.ndarray) -> DataFrame:
         total = self.members.agg(F.sum("n")).first()[0] or 0
@@ -331,110 +347,135 @@ class ShingleJoin:
         sent = self.spark.sparkContext.broadcast(ranks)
         blobs = self.docs.select("text").mapInArrow(_routes(sent, self.seed, self.width, routes, self.hot), "route int, hot boolean, pairs binary")
         spread = max(partitions(self.spark), routes // 4)
-        return staged(blobs.repartition(spread, "route", F.when(F.col("hot"), F.crc32("pairs"))).mapInArrow(_shared_keys, "key long, cid long"), "join-shared")
-
-    def _links(self) -> DataFrame:
-        own = self.classes.select("cid", "n", "vec")
-        side = lambda x: own.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("vec").alias(f"vec_{x}"))
-        links, comps = None, None
-        for turn in range(self.turns):
-            placed = self._placed(comps)
-            # Turning bits of the keys over makes another class the smallest each turn.
-            mask = F.lit(int(mixed(np.array([turn], np.uint64)).view(np.int64)[0]))
-            split = placed.groupBy("key").agg(F.min(F.col("cid").bitwiseXOR(mask)).alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-            pivots = self._placed(comps, split.select("key", F.col("low").bitwiseXOR(mask).alias("cid"))).select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-            tried = placed.join(pivots, "key").where("comp <> comp_b").groupBy(F.col("cid").alias("a"), "b").agg(F.count("*").alias("common"))
-            possible = tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long, common long")
-            best = staged(possible.groupBy("a").agg(F.max(F.struct("common", "b")).alias("x")).select("a", "x.b"), "join-pivots")
-            found = self.verified(best)
-            if not found.limit(1).count():
-                break
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-        placed = self._placed(comps)
-        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", "m", F.ceil(F.col("m") / self.tile).cast("int").alias("s"))
-        entries = staged(placed.join(mixed_keys, "key"), "join-entries")
-        # A key of no more classes than a node holds is one leaf: its pairs, mostly the same few, are compared at once.
-        leaf = entries.where(F.col("m") <= FAN).select("key", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-        again = leaf.select("key", F.col("a").alias("b"), F.col("comp_a").alias("comp_b"))
-        pairs = leaf.join(again, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct().withColumn("common", F.lit(1).cast("long"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long, common long").select("a", "b")
-        entries = entries.where(F.col("m") > FAN).withColumn("i", F.pmod("cid", "s").cast("int"))
-        # A key with more classes than a tile holds is split: every two parts meet in one tile.
-        spread = entries.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), (F.col("i") > F.col("j")).cast("int").alias("side"), "cid", "comp")
-        rows = spread.join(own, "cid").select("tile", "side", "cid", "comp", "n", "vec")
-        rest = rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long").unionByName(near).distinct()
-        last = self.verified(staged(rest, "join-candidates"))
-        return staged(last if links is None else links.unionByName(last), "join-links")
-
-    def _placed(self, comps: DataFrame | None, rows: DataFrame | None = None) -> DataFrame:
-        """(key, cid) rows, by default all shared ones, with the component reached so far."""
-        rows = self.shared if rows is None else rows
-        if comps is None:
-            return rows.select("key", "cid", F.col("cid").alias("comp"))
-        return rows.join(comps, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class keys whose sets link, staged."""
-        nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("cid"), "cid", "left_anti")
-        wanted = staged(nodes.join(self.classes.select("cid", "rep"), "cid"), "join-nodes")
-        if new := wanted.count():
-            self._fetch(wanted.select(F.col("rep").alias("r")).distinct(), new)
-        if self.sets is None:  # no pairs
-            return pairs
-        side = lambda x: self.sets.select(F.col("cid").alias(x), F.col("own").alias(f"set_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return staged(both.where(100 * common >= 75 * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "join-verified")
-
-    def _fetch(self, ids: DataFrame, count: int) -> None:
-        """Add the whole sets of the documents with these ids; sets once fetched serve all later turns."""
-        if count * 16 <= SEND_BYTES:
-            ids = F.broadcast(ids)
+        out = staged(blobs.repartition(spread, "route", F.when(F.col("hot"), F.crc32("pairs"))).mapInArrow(_shared_keys, "key long, cid long"), "join-shared")
+        sent.unpersist()
+        return out
+
+    def _place(self) -> DataFrame:
+        """(cid, rep, n, label, parts, tile, comp) of the classes that share a key. A class's label is the least class it
+        shares a key with, followed once more, so that those likely to link lie together; labels of more classes or
+        shingles than a tile holds are cut into parts by hash."""
+        low = self.shared.groupBy("key").agg(F.min("cid").alias("low"))
+        near = staged(self.shared.join(low, "key").groupBy("cid").agg(F.min("low").alias("label")), "join-near")
+        far = near.join(near.select(F.col("cid").alias("label"), F.col("label").alias("next")), "label")
+        rows = far.select("cid", F.col("next").alias("label")).join(self.classes.select("cid", "rep", "n"), "cid")
+        parts = rows.groupBy("label").agg(_parts(self.tile).alias("parts"))
+        return staged(rows.join(parts, "label").select("cid", "rep", "n", "label", "parts", _tile("cid", 0).alias("tile"), F.col("cid").alias("comp")), "join-placed")
+
+    def _merge(self, placed: DataFrame) -> DataFrame:
+        """Join every tile with itself, then the components' least classes of labels of several parts with each
+        other, as long as that shrinks them."""
+        placed = self._joined(placed, placed, "join-placed")
+        turn, before = 0, None
+        while True:
+            turn += 1
+            heads = placed.where("parts > 1 and cid = comp")
+            parts = heads.groupBy("label").agg(F.count("*").alias("m"), _parts(self.tile).alias("now"))
+            left = parts.agg(F.sum("m").alias("m"), F.max("now").alias("now")).first()
+            if left.m is None or (before is not None and 2 * left.m > before):
+                return placed
+            before = left.m
+            again = heads.drop("parts").join(parts.select("label", F.col("now").alias("parts")), "label").withColumn("tile", _tile("cid", turn))
+            placed = self._joined(placed, again, "join-placed")
+            if left.now == 1:
+                return placed
+
+    def _joined(self, placed: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+        links = staged(self._solved(self._sets(rows.select("rep", "cid", "comp", "tile", F.lit(0).alias("side")))), "join-links")
+        return staged(placed.join(links, F.col("comp") == F.col("b"), "left").select("cid", "rep", "n", "label", "parts", "tile", F.coalesce("a", "comp").alias("comp")), label)
+
+    def _solved(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long")
+
+    def _across(self, placed: DataFrame) -> DataFrame:
+        """Join tiles with others that they share a key of several components with. Only the classes that hold such
+        a key go along, and two tiles whose holders of it are all of one component need no look."""
+        entries = self.shared.join(placed.select("cid", "comp", "tile"), "cid")
+        keys = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("tile").alias("t0"), F.max("tile").alias("t1")).where("c0 <> c1 and t0 <> t1").select("key")
+        entries = staged(entries.join(keys, "key"), "join-mixed")
+        if not entries.limit(1).count():
+            return placed
+        tiles = entries.groupBy("key", "tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        most = entries.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
+        # Of each two tiles that must meet at a key, one has holders outside the key's main component.
+        odd = tiles.join(most, "key").where("c0 <> main or c1 <> main").select("key", F.col("tile").alias("t"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+        meet = odd.join(tiles, "key").where("t <> tile and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", F.least("t", "tile").alias("t0"), F.greatest("t", "tile").alias("t1")).distinct()
+        sides = meet.select("key", F.col("t0").alias("tile"), F.concat_ws("|", "t0", "t1").alias("pair"), F.lit(0).alias("side")).unionByName(meet.select("key", F.col("t1").alias("tile"), F.concat_ws("|", "t0", "t1").alias("pair"), F.lit(1).alias("side")))
+        rows = staged(entries.join(sides, ["key", "tile"]).select("cid", "comp", F.col("pair").alias("tile"), "side").distinct(), "join-across")
+        wanted = placed.select("cid", "rep").join(rows.select("cid").distinct(), "cid", "left_semi")
+        sets = staged(self._sets(wanted), "join-sets")
+        links = self._solved(rows.join(sets.dropDuplicates(["cid"]), "cid"))
+        comps = components(links).select("id", F.col("comp").alias("to"))
+        return placed.join(comps, F.col("comp") == F.col("id"), "left").select("cid", F.coalesce("to", "comp").alias("comp"))
+
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (rep, cid and more) with the whole set of each class as column own, from its representative's text."""
         seed, width = self.seed, self.width
+        more = [f for f in wanted.schema if f.name != "rep"]
+        names = [f.name for f in more]
+        ids = wanted.select(F.col("rep.doc_id").alias("r"), F.col("rep.h").alias("h"), *names)
+        if wanted.count() * ROW_BYTES <= SEND_BYTES:
+            ids = F.broadcast(ids)
 
         def sets(batches):
             for batch in batches:
                 own = [shingles(t, width) for t in batch.column("text").to_pylist()]
                 _WORDS.trim()
-                own = [x for x in own if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_key(x, seed) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["cid", "own"])
+                right = np.array([class_key(x, seed) if len(x) else None for x in own], object) == np.array(batch.column("cid").to_pylist(), object)
+                at = np.flatnonzero(right)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array([own[i].tobytes() for i in at], pa.binary())], [*names, "own"])
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
+        found = self.docs.alias("d").join(ids.alias("w"), F.expr("d.doc_id <=> w.r and d.h = w.h")).select("text", *names)
+        return found.mapInArrow(sets, f"{kinds}, own binary")
+
+
+def _parts(tile: int):
+    """Parts that a label's rows (cid, n) fill: by count, and by the bytes of their sets."""
+    return F.ceil(F.greatest(F.count("*") / F.lit(tile), F.sum("n") * 8 / F.lit(TILE_BYTES))).cast("int")
 
-        found = self.docs.join(ids, F.expr("doc_id <=> r")).select("text").mapInArrow(sets, "cid long, own array<long>").dropDuplicates(["cid"])
-        if self.sets is not None:
-            found = found.join(self.sets.select("cid"), "cid", "left_anti")
-        found = staged(found, "join-sets")
-        self.sets = found if self.sets is None else self.sets.unionByName(found)
 
+def _tile(cid: str, turn: int):
+    return F.concat_ws("/", F.lit(turn), "label", F.pmod(F.xxhash64(cid, F.lit(turn)), F.col("parts")))
 
-def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = 2048, turns: int = 4) -> DataFrame:
+
+def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """Join documents whose sets of ``width``-word shingles have Jaccard similarity of 0.75 or more.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
     Words are split at white space after lower-casing A-Z. A text of fewer words is one shingle; null, empty
     and blank texts have none and are linked with nothing. Repeated rows are documents of one set. A null
     doc_id is never the smallest, unless all of a component are null. An empty table gives no rows; other
-    columns are ignored. Links inside a component that a pivot already joined aren't enumerated.
+    columns are ignored. Shingles are compared by 64-bit hashes. A link inside a component that other links
+    already join isn't verified.
     """
-    run = ShingleJoin(docs, width, hot, tile, turns)
-    comps = components(run.links)
-    placed = run.classes.select("cid", "rep").join(comps, F.col("cid") == F.col("id"), "left").select("cid", "rep", F.coalesce("comp", "cid").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    class_of = placed.join(smallest, "comp").select(F.col("cid").alias("c"), "component_id")
-    return run.members.select("doc_id", "n", "cid").join(class_of, F.col("cid") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _components(ShingleJoin(docs, width, hot, tile)).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(run: ShingleJoin) -> DataFrame:
+    """(doc_id, n_shingles, component_id, h, comp) of each row."""
+    placed = run.classes.select("cid", "least").join(run.placed.select("cid", "comp"), "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    class_of = placed.join(smallest, "comp").select(F.col("cid").alias("c"), "component_id", "comp")
+    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return run.members.join(class_of, F.col("cid") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "h", "comp")
 
 
 def one_per_component(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document of least doc_id stays, whole.
 
-    Rows that share a doc_id stay or go together, identical repeats of them once. Texts without words, and
-    rows without doc_id, stay.
+    Rows that share a doc_id stay or go together; rows alike in every column stay once. Texts without words stay.
+    Of a component that has only null doc_ids one row stays; null rows of other components go.
     """
-    comps = shingle_components(docs, width)
-    kept = comps.where("n_shingles = 0 or component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
+    comps = staged(_components(ShingleJoin(docs, width)), "join-components")
+    kept = comps.where("doc_id is not null and (n_shingles = 0 or component_id = doc_id)").select(F.col("doc_id").alias("__kept")).distinct()
     stay = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    repeats = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(1))
+    repeats = Window.partitionBy("doc_id", F.xxhash64(*docs.columns), "text").orderBy(F.lit(1))
     once = stay.withColumn("__repeat", F.row_number().over(repeats)).where("__repeat = 1").drop("__repeat")
-    return once.unionByName(docs.where("doc_id is null"))
+    # Rows without doc_id are found by their text's hash; of a component of such rows the least text stays.
+    nameless = comps.where("doc_id is null").select("h", "n_shingles", "component_id", "comp").distinct()
+    first = nameless.where("n_shingles > 0 and component_id is null").groupBy("comp").agg(F.min("h").alias("__h"))
+    blank = docs.where("doc_id is null").withColumn("__h0", F.xxhash64(text_of()))
+    empty = nameless.where("n_shingles = 0").select(F.col("h").alias("__h"))
+    kept_null = blank.join(first.select("__h"), F.col("__h0") == F.col("__h"), "left_semi").dropDuplicates(["__h0"]).drop("__h0")
+    return once.unionByName(kept_null).unionByName(blank.join(empty, F.col("__h0") == F.col("__h"), "left_semi").drop("__h0"))

@@ -281,25 +281,53 @@ def near_copies(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("hot, tile, turns", [(shingle_join.HOT, 2048, 4), (8, 4, 1), (1, 3, 0)])
-def test_shingle_components(spark, hot, tile, turns):
+@pytest.mark.parametrize("hot, tile", [(shingle_join.HOT, shingle_join.TILE), (8, 4), (1, 2)])
+def test_shingle_components(spark, hot, tile):
     texts = near_copies()
-    run = shingle_join.shingle_components(table(spark, texts), hot=hot, tile=tile, turns=turns)
+    run = shingle_join.shingle_components(table(spark, texts), hot=hot, tile=tile)
     assert got(run) == [(d, n, c) for d, n, c in brute_components(texts)]
 
 
+def test_shingle_links_grow_linearly(spark):
+    """A group of m near copies, most of which link with each other, sends out about m links, whatever its size."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    for m in (60, 240):
+        texts = [(i, " ".join(w if rng.random() > 0.01 else f"x{rng.random()}" for w in base)) for i in range(m)]
+        run = shingle_join.ShingleJoin(table(spark, texts), tile=16)
+        rows = run._place()
+        links = run._solved(run._sets(rows.select("rep", "cid", "comp", "tile", F.lit(0).alias("side")))).count()
+        assert 0.5 * m < links < m and run.placed.select("comp").distinct().count() <= 0.1 * m
+
+
+def test_tile_verifies_what_the_bound_lets_through():
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.choice(1 << 40, 80, False)).astype(np.uint64) << np.uint64(20)
+    own = [np.sort(np.concatenate([base[:keep], rng.integers(1 << 62, 1 << 63, 80 - keep).astype(np.uint64)])) for keep in (80, 79, 69, 68, 40)]
+    cid = np.arange(5)
+    old, new = shingle_join.join_tile(cid, cid, np.zeros(5, int), own)
+    assert old.tolist() == [0, 1, 2, 3, 4] and new.tolist() == [0, 0, 0, 3, 4]  # 69 of 91 link, 68 of 92 don't
+    across = shingle_join.join_tile(cid, np.array([0, 1, 1, 3, 4]), np.array([0, 0, 1, 1, 1]), own)[1]
+    assert across.tolist() == [0, 0, 3, 4]
+
+
 def test_shingle_join_odd_tables(spark, docs, none):
     assert shingle_join.shingle_components(none).collect() == []
     assert got(shingle_join.shingle_components(docs)) == brute_components(TEXTS)
     stay = shingle_join.one_per_component(docs)
     assert stay.columns == docs.columns
     assert sorted((r.doc_id for r in stay.collect()), key=str) == sorted([1, 3, 4, 5, 6, 7, 10, 12, 13, None, None], key=str)
+    words = " ".join(f"n{i}" for i in range(50))
+    nameless = table(spark, [(None, words), (None, words), (None, words + " more"), (None, LONG), (None, ""), (20, "x " * 9), (20, "x " * 9)])
+    left = sorted((str(r.doc_id), len(r.text or "")) for r in shingle_join.one_per_component(nameless.union(docs)).collect())
+    assert [x for x in left if x[0] == "20"] == [("20", 18)]
+    assert len([n for d, n in left if d == "None" and n in (len(words), len(words) + 5)]) == 1 and ("None", len(LONG)) not in left
 
 
 def test_rtree_finds_every_pair():
     rng = np.random.default_rng(0)
     for size in (1, 2, 16, 17, 300):
-        vec = rng.poisson(rng.choice([0.3, 2.0], (size, 1)), (size, shingle_join.GROUPS)).astype(np.int32)
+        vec = rng.poisson(rng.choice([0.3, 2.0], (size, 1)), (size, 512)).astype(np.int32)
         n, comp = vec.sum(1), rng.integers(0, max(1, size // 3), size)
         tree = shingle_join.RTree(vec, n, comp)
         found = {(min(a, b), max(a, b)) for i, j in tree.join(tree) for a, b in zip(i.tolist(), j.tolist())}
