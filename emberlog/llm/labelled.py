@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged, text_of
+from .common import fold, in_arrow, staged, text_of
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
@@ -26,15 +26,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return staged(own.join(F.broadcast(picked), "doc_id").select(fold().alias("fold"), "label", "text"), f"{label}-sample")
 
 
-def sample_features(sample: DataFrame, width: int, extract: Callable[[list[str]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fold, label, features) of the bounded sample, in a fixed order."""
+def sample_features(sample: DataFrame, width: int, extract: Callable[[list[str], list[int]], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fold, label, features) of the bounded sample, in a fixed order; ``extract`` gets texts and their folds."""
 
     def run(batches):
         for batch in batches:
-            x = extract(batch.column("text").to_pylist())
+            x = extract(batch.column("text").to_pylist(), batch.column("fold").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["fold", "label", "x"])
 
-    rows: pd.DataFrame = sample.mapInArrow(run, f"fold {sample.schema['fold'].dataType.simpleString()}, label int, x array<double>").toPandas()
+    rows: pd.DataFrame = in_arrow(sample, run, f"fold {sample.schema['fold'].dataType.simpleString()}, label int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), width)
     order = np.lexsort(np.column_stack([x, rows["label"], rows["fold"]]).T) if len(rows) else np.arange(0)
     return rows["fold"].to_numpy(float)[order], rows["label"].to_numpy(int)[order], x[order]
@@ -51,5 +51,5 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], limit: flo
                 part = batch.slice(low, 500)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    out = own.mapInArrow(run, f"doc_id {kind}, score double")
+    out = in_arrow(own, run, f"doc_id {kind}, score double")
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))

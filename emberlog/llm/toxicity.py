@@ -1,8 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features are densities of a general and a learned lexicon, their nearness to second-person words, and rates of
-capitals, punctuation and obfuscation. Histogram trees are boosted on logistic loss; the pooled-adjacent-
-violators fit of a part of the sample that grew no tree turns their sums into probabilities.
+capitals, punctuation and obfuscation. A word is learned if toxic documents hold it so much oftener that chance
+would give fewer than one such word of all words tested, and weighs its log odds. Trees train on features whose
+lexicon was learned without the fold of the document. Histogram trees are boosted on logistic loss; the pooled-
+adjacent-violators fit of a part of the sample that grew no tree turns their sums into probabilities.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .labelled import labelled_sample, sample_features, scored
 
 # General insults, second-person words, and characters that stand for letters.
@@ -24,7 +27,7 @@ STAND_INS = str.maketrans("013457@$!|", "oieastasil")
 
 WORD = re.compile(r"\w[\w@$!*#|'-]*")
 ODD = re.compile(r"[^\W\d_][@$!*#|0-9]+[^\W\d_]")
-FEATURES = 12
+FEATURES = 15
 NEAR = 4
 
 
@@ -32,8 +35,8 @@ def terms(text: str) -> list[str]:
     return [w.rstrip("@$!*#|'-") for w in WORD.findall(text.lower())]
 
 
-def features(texts: list[str], learned: frozenset[str]) -> np.ndarray:
-    """Dense features of whole texts; an empty text is all zeros."""
+def features(texts: list[str], learned: dict[str, float]) -> np.ndarray:
+    """Dense features of whole texts; an empty text is all zeros. ``learned`` has the log odds of its words."""
     out = np.zeros((len(texts), FEATURES))
     for i, text in enumerate(texts):
         words = terms(text)
@@ -41,8 +44,8 @@ def features(texts: list[str], learned: frozenset[str]) -> np.ndarray:
             continue
         n, chars = len(words), len(text)
         kinds = set(words)
-        general, own = bool(kinds & INSULTS), bool(kinds & learned)
-        at = [k for k, w in enumerate(words) if w in INSULTS or w in learned] if general or own else []
+        general, own = kinds & INSULTS, kinds & learned.keys()
+        at = [k for k, w in enumerate(words) if w in general or w in own] if general or own else []
         plain = {w: w.translate(STAND_INS) for w in kinds if not w.isalpha()}
         hidden = {w for w, p in plain.items() if p != w and (p in INSULTS or p in learned)}
         persons = [k for k, w in enumerate(words) if w in SECOND_PERSON] if kinds & SECOND_PERSON else []
@@ -53,14 +56,18 @@ def features(texts: list[str], learned: frozenset[str]) -> np.ndarray:
             gap = np.minimum(np.abs(p[np.minimum(place, len(p) - 1)] - at), np.abs(p[np.maximum(place - 1, 0)] - at))
             near = int((gap <= NEAR).sum())
         hits = len(at)
-        general_hits = sum(w in INSULTS for w in (words[k] for k in at))
+        general_hits = sum(words[k] in general for k in at)
         disguised = sum(w in hidden for w in words) if hidden else 0
+        odds = [learned[w] for w in own]
         out[i] = (
             general_hits / n,
             hits / n,
             math.log1p(general_hits),
             math.log1p(hits),
-            len({words[k] for k in at}),
+            len(general | own),
+            sum(odds),
+            max(odds, default=0.0),
+            sum(learned.get(words[k], 0.0) for k in at) / n,
             near / n,
             len(persons) / n,
             sum(map(len, re.findall(r"[A-Z]{2,}", text))) / chars,
@@ -72,21 +79,41 @@ def features(texts: list[str], learned: frozenset[str]) -> np.ndarray:
     return out
 
 
-def learned_lexicon(sample: DataFrame, words: int = 100, least: int = 4) -> frozenset[str]:
-    """Words far commoner in toxic documents of the sample (folds over 1), by document frequency; ``words`` at most."""
-    own = sample.where("fold > 1")
-    sizes = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    if not sizes.toxic or sizes.toxic == sizes.n:
-        return frozenset()
-    seen = own.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes.toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (sizes.n - sizes.toxic + 1))
-    rows = seen.where(F.col("toxic") >= max(least, sizes.toxic // 20)).withColumn("odds", odds).where("odds > 2").orderBy(F.desc("odds"), "word").limit(words).collect()
-    return frozenset(r.word for r in rows)
+def learned_lexicons(sample: DataFrame, folds: tuple[int, ...] = (1, 2, 3, 4)) -> dict[int, dict[str, float]]:
+    """Words commoner in toxic documents of the sample, with log odds, by the fold left out; 0: none left out.
+
+    A word that k of n documents hold, t of them toxic, is kept if the bound exp(-n * KL(t/n, share of toxic)) of
+    the chance of that is below one over the words tested. What is counted is bounded by the sample.
+    """
+    sizes = {r.fold: (r.toxic, r.n) for r in sample.groupBy("fold").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()}
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")))
+    by_fold = [x for f in folds for x in (F.sum(F.when(F.col("fold") == f, F.col("label")).otherwise(0)).alias(f"t{f}"), F.count_if(F.col("fold") == f).alias(f"n{f}"))]
+    seen = sample.select("fold", "label", words.alias("word")).where("word <> ''").groupBy("word").agg(*by_fold, F.sum("label").alias("t"))
+    share = sum(t for t, _ in sizes.values()) / max(1, sum(n for _, n in sizes.values()))
+    tested = staged(seen, "toxic-words")
+    count = max(1, tested.count())
+    rows = tested.where(F.col("t") > F.lit(share) * sum(F.col(f"n{f}") for f in folds)).where("t > 2").collect()
+    out = {}
+    for left_out in (0, *folds):
+        use = [f for f in folds if f != left_out and f in sizes]
+        toxic, total = sum(sizes[f][0] for f in use), sum(sizes[f][1] for f in use)
+        out[left_out] = {}
+        if not 0 < toxic < total:
+            continue
+        s = toxic / total
+        for r in rows:
+            t, n = sum(r[f"t{f}"] for f in use), sum(r[f"n{f}"] for f in use)
+            if not n or (q := t / n) <= s:
+                continue
+            chance = n * (q * math.log(q / s) + ((1 - q) * math.log((1 - q) / (1 - s)) if q < 1 else 0.0))
+            if chance > math.log(count):
+                out[left_out][r.word] = math.log((t + 0.5) / (toxic + 1)) - math.log((n - t + 0.5) / (total - toxic + 1))
+    return out
 
 
 @dataclass
 class TreeModel:
-    learned: frozenset[str]
+    learned: dict[str, float]
     base: float
     feature: np.ndarray  # (trees, inner nodes)
     cut: np.ndarray
@@ -157,7 +184,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
     return base, np.array(features_), np.array(cuts), np.array(leaves)
 
 
-def fit(fold: np.ndarray, label: np.ndarray, x: np.ndarray, learned: frozenset[str]) -> TreeModel:
+def fit(fold: np.ndarray, label: np.ndarray, x: np.ndarray, learned: dict[str, float]) -> TreeModel:
     """Fold 1 calibrates, the rest grows trees. Without both labels every score is the share of label 1."""
     learn = fold != 1
     share = float(label.mean()) if len(label) else 0.0
@@ -169,7 +196,7 @@ def fit(fold: np.ndarray, label: np.ndarray, x: np.ndarray, learned: frozenset[s
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 16000) -> DataFrame:
     """Score every document's toxicity; at most about ``sample_rows`` labelled rows outside fold 0 are learned from.
 
     Returns one row per input row: doc_id, held_out, score, predicted. Null text is empty and scored like any
@@ -177,7 +204,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000)
     out. An empty table gives no rows; other columns are ignored.
     """
     sample = labelled_sample(docs, labels, "toxic", sample_rows)
-    learned = learned_lexicon(sample)
-    model = fit(*sample_features(sample, FEATURES, lambda texts: features(texts, learned)), learned)
+    lexicons = learned_lexicons(sample)
+
+    def extract(texts: list[str], folds: list[int]) -> np.ndarray:
+        out = np.zeros((len(texts), FEATURES))
+        for f in set(folds):
+            at = [i for i, x in enumerate(folds) if x == f]
+            out[at] = features([texts[i] for i in at], lexicons[f])
+        return out
+
+    model = fit(*sample_features(sample, FEATURES, extract), lexicons[0])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scored(docs, lambda texts: shared.value.score(texts), 0.5)
