@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged, text_of
+from .common import fold, in_arrow, staged, text_of
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -198,7 +198,7 @@ def train(docs: DataFrame, per_lang: int = 1000, max_langs: int = 256) -> LangMo
     without documents to calibrate on takes the mean of the others, or accepts all.
     """
     own = sample(docs, per_lang, max_langs)
-    grams_found = own.where("fold > 1").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams_found = in_arrow(own.where("fold > 1").select("lang", "text"), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {lang: (part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy()) for lang, part in grams_found.groupby("lang")}
     if not counts:
         return LangModel([], [], [], [], [], np.zeros(0))
@@ -213,7 +213,7 @@ def train(docs: DataFrame, per_lang: int = 1000, max_langs: int = 256) -> LangMo
             value = [float(entropy[i, j]) if j >= 0 else None for i, j in enumerate(at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array(sizes)], ["lang", "value", "size"])
 
-    held = own.where("fold = 1").select("lang", "text").mapInArrow(measure, "lang string, value double, size long").where("value is not null and size > 0").toPandas()
+    held = in_arrow(own.where("fold = 1").select("lang", "text"), measure, "lang string, value double, size long").where("value is not null and size > 0").toPandas()
     fitted = {}
     for lang, part in held.groupby("lang"):
         centre = part["value"].median()
@@ -245,5 +245,5 @@ def identify(docs: DataFrame, model: LangModel, carry: list[str] = ()) -> DataFr
                 columns = [part.column(i) for i in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[: len(kinds)], "__lang", "__score"])
 
-    out = own.mapInArrow(judge, ", ".join([*kinds, "__lang string", "__score double"]))
+    out = in_arrow(own, judge, ", ".join([*kinds, "__lang string", "__score double"]))
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), (F.col("__score") < 0.5).alias("rejected"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_BYTES, partitions, staged, text_of
+from .common import WHITE_BYTES, in_arrow, partitions, staged, text_of
 
 #: The id that stands for null: such rows count as one document after all others.
 NO_ID = 2**63 - 1
@@ -104,7 +104,7 @@ def line_dedup(docs: DataFrame, batches: int = 4, fan_in: int = 2, carry: list[s
     first document stay. An empty table gives no rows; other columns are ignored.
     """
     source = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc"), text_of().alias("text"))
-    lines = staged(source.mapInArrow(_keys, "key binary, doc long"), "line-keys")
+    lines = staged(in_arrow(source, _keys, "key binary, doc long"), "line-keys")
     index, low = LineRuns(fan_in), None
     for high in [*_bounds(lines, batches), None]:
         part = lines if low is None else lines.where(F.col("doc") > low)
@@ -115,5 +115,5 @@ def line_dedup(docs: DataFrame, batches: int = 4, fan_in: int = 2, carry: list[s
     whole = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc"), F.col("doc_id").alias("doc_id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], text_of().alias("__text"))
     joined = whole.join(gone, "doc", "left").drop("doc")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("__text", "__gone"))
-    out = joined.mapInArrow(_apply, f"{kinds}, kept_text string, n_lines long, n_dropped long")
+    out = in_arrow(joined, _apply, f"{kinds}, kept_text string, n_lines long, n_dropped long")
     return out.select("doc_id", *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "kept_text", "n_lines", "n_dropped")

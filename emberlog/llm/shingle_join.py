@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, staged, text_of
+from .common import in_arrow, partitions, prepare, staged, text_of
 from .components import components
 
 #: Hash groups of a tile's count vectors: about one for two shingles of its largest set, within these.
@@ -125,7 +125,6 @@ def _profiles(seed: int, width: int):
             if own.any():
                 nulls = [pa.array([None], f) for f in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*nulls, pa.array([piece], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -311,7 +310,6 @@ def _tiles(batches):
                 held, tile = [], row_tile
             held.append(row)
     yield from solve(held) if held else ()
-    pa.default_memory_pool().release_unused()
 
 
 class ShingleJoin:
@@ -334,9 +332,9 @@ class ShingleJoin:
         self.placed = self._across(self._merge(self._place()))
 
     def _profile(self):
-        rows = staged(self.docs.mapInArrow(_profiles(self.seed, self.width), "doc_id long, h long, n long, cid long, proof binary, piece int, cells binary"), "join-profile")
+        rows = staged(in_arrow(self.docs, _profiles(self.seed, self.width), "doc_id long, h long, n long, cid long, proof binary, piece int, cells binary"), "join-profile")
         ranks = np.zeros(CELLS, np.uint8)
-        summed = rows.where("piece is not null").select("piece", "cells").repartition(partitions(self.spark), "piece").mapInArrow(_sum_cells, "piece int, ranks binary")
+        summed = in_arrow(rows.where("piece is not null").select("piece", "cells").repartition(partitions(self.spark), "piece"), _sum_cells, "piece int, ranks binary")
         for r in summed.collect():  # CELLS bytes, whatever the input
             ranks[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.ranks, np.uint8)
         return rows.where("piece is null").select("doc_id", "h", "n", "cid", "proof"), ranks
@@ -345,9 +343,9 @@ class ShingleJoin:
         total = self.members.agg(F.sum("n")).first()[0] or 0
         routes = max(4 * partitions(self.spark), total // (1 << 20))
         sent = self.spark.sparkContext.broadcast(ranks)
-        blobs = self.docs.select("text").mapInArrow(_routes(sent, self.seed, self.width, routes, self.hot), "route int, hot boolean, pairs binary")
+        blobs = in_arrow(self.docs.select("text"), _routes(sent, self.seed, self.width, routes, self.hot), "route int, hot boolean, pairs binary")
         spread = max(partitions(self.spark), routes // 4)
-        out = staged(blobs.repartition(spread, "route", F.when(F.col("hot"), F.crc32("pairs"))).mapInArrow(_shared_keys, "key long, cid long"), "join-shared")
+        out = staged(in_arrow(blobs.repartition(spread, "route", F.when(F.col("hot"), F.crc32("pairs"))), _shared_keys, "key long, cid long"), "join-shared")
         sent.unpersist()
         return out
 
@@ -385,7 +383,7 @@ class ShingleJoin:
         return staged(placed.join(links, F.col("comp") == F.col("b"), "left").select("cid", "rep", "n", "label", "parts", "tile", F.coalesce("a", "comp").alias("comp")), label)
 
     def _solved(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile").mapInArrow(_tiles, "a long, b long")
+        return in_arrow(rows.repartition(partitions(self.spark), "tile").sortWithinPartitions("tile"), _tiles, "a long, b long")
 
     def _across(self, placed: DataFrame) -> DataFrame:
         """Join tiles with others that they share a key of several components with. Only the classes that hold such
@@ -427,7 +425,7 @@ class ShingleJoin:
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
         found = self.docs.alias("d").join(ids.alias("w"), F.expr("d.doc_id <=> w.r and d.h = w.h")).select("text", *names)
-        return found.mapInArrow(sets, f"{kinds}, own binary")
+        return in_arrow(found, sets, f"{kinds}, own binary")
 
 
 def _parts(tile: int):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_arrow, staged
 
 # Rules given by the contract of the query.
 GIVEN = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -126,7 +126,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     verdict that a part is sure of can't gain: only the other sets, which the support alone bounds, grow longer.
     """
     spark = labelled.sparkSession
-    raw = staged(labelled.select("url", "verdict").mapInArrow(_transactions, "items array<string>, verdict string"), "url-baskets")
+    raw = staged(in_arrow(labelled.select("url", "verdict"), _transactions, "items array<string>, verdict string"), "url-baskets")
     total = raw.count()
     if total < least:
         return []
@@ -134,7 +134,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     # Only tokens that reach the support alone can be in a rule.
     common = raw.select(F.explode("items").alias("item"), "verdict").groupBy("item").agg(*(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in VERDICTS))
     names = sorted(r.item for r in common.where(F.greatest(*VERDICTS) >= enough).select("item").collect())  # at most items per basket / support
-    numbered = raw.mapInArrow(_numbered(spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})), "items array<int>, verdict string").where(F.size("items") > 0)
+    numbered = in_arrow(raw, _numbered(spark.sparkContext.broadcast({t: i for i, t in enumerate(names)})), "items array<int>, verdict string").where(F.size("items") > 0)
     # Equal baskets are one row with counts.
     equal = numbered.groupBy("items").agg(*(F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in VERDICTS))
     baskets = staged(equal.withColumn("b", F.monotonically_increasing_id()), "url-baskets-equal")
@@ -159,7 +159,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
         if left * 100 <= SEND_BYTES:
             alive = F.broadcast(alive)
         lists = found.select("b", *VERDICTS, "s").join(alive, "s").groupBy("b", *VERDICTS).agg(F.collect_list(F.struct("s", "n", "best_allow", "best_block")).alias("sets"))
-        found = staged(lists.mapInArrow(_longer, FOUND), "url-found")
+        found = staged(in_arrow(lists, _longer, FOUND), "url-found")
 
 
 class RuleIndex:
@@ -213,4 +213,4 @@ def filter_urls(pages: DataFrame, labels: DataFrame, given: dict[str, str] = GIV
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], ["page_id", "host", "path", "rule", "verdict", "mined"])
 
     kind = own.schema["page_id"].dataType.simpleString()
-    return own.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, mined string")
+    return in_arrow(own, judge, f"page_id {kind}, host string, path string, rule string, verdict string, mined string")
