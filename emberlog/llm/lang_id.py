@@ -24,6 +24,8 @@ PASS_CHARS = 1 << 19
 #: Standard deviations over a language's own mean at which a document is rejected.
 REJECT_AT = 6.0
 UNKNOWN = "und"
+#: So many languages' sampling rates are sent to all executors; more are joined by shuffle.
+SEND_LANGS = 1 << 16
 
 _TABLES: dict = {}
 
@@ -178,26 +180,22 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
-    """A bounded sample of labelled documents outside the held-out fold: (fold, lang, text), staged."""
+def sample(docs: DataFrame, per_lang: int) -> DataFrame:
+    """About ``per_lang`` labelled documents of each language outside the held-out fold: (fold, lang, text), staged."""
     own = docs.select(fold().alias("fold"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(9)).alias("pick"), F.col("text").cast("string").alias("text")).where("fold <> 0 and lang is not null and text is not null")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    share = {r.lang: min(1.0, per_lang / r["count"]) for r in sizes.collect()}
-    if not share:
-        return own.select("fold", "lang", "text").limit(0)
-    rate = F.lit(-1.0)
-    for lang, x in share.items():
-        rate = F.when(F.col("lang") == lang, F.lit(x)).otherwise(rate)
-    return staged(own.where(F.pmod("pick", F.lit(1 << 20)) < rate * (1 << 20)).select("fold", "lang", "text"), "lang-sample")
+    sizes = staged(own.groupBy("lang").agg(F.least(F.lit(1.0), per_lang / F.count("*")).alias("share")).select(F.col("lang").alias("l"), "share"), "lang-sizes")
+    if sizes.count() <= SEND_LANGS:
+        sizes = F.broadcast(sizes)
+    return staged(own.join(sizes, F.col("lang") == F.col("l")).where(F.pmod("pick", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("fold", "lang", "text"), "lang-sample")
 
 
-def train(docs: DataFrame, per_lang: int = 1000, max_langs: int = 256) -> LangModel:
-    """Fit on about ``per_lang`` documents of each of the ``max_langs`` commonest languages (fold 0 held out).
+def train(docs: DataFrame, per_lang: int = 1000) -> LangModel:
+    """Fit on about ``per_lang`` documents of each value of ``lang`` (fold 0 held out): the bound of what is learned from.
 
     Folds 2 to 4 are counted, fold 1 calibrates. A language without counted documents isn't learned; one
     without documents to calibrate on takes the mean of the others, or accepts all.
     """
-    own = sample(docs, per_lang, max_langs)
+    own = sample(docs, per_lang)
     grams_found = in_arrow(own.where("fold > 1").select("lang", "text"), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {lang: (part["gram"].to_numpy().astype(np.uint64), part["n"].to_numpy()) for lang, part in grams_found.groupby("lang")}
     if not counts:
@@ -226,6 +224,21 @@ def train(docs: DataFrame, per_lang: int = 1000, max_langs: int = 256) -> LangMo
     return model
 
 
+def _judged(docs: DataFrame, model: LangModel, carry: list[str]) -> DataFrame:
+    """The columns named in ``carry`` as __c0, __c1 and so on, with __lang and __score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").cast("string").alias("__text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__text"]
+
+    def judge(batches):
+        for batch in batches:
+            langs, scores = shared.value.judge(batch.column("__text").to_pylist())
+            columns = [batch.column(i) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[: len(kinds)], "__lang", "__score"])
+
+    return in_arrow(own, judge, ", ".join([*kinds, "__lang string", "__score double"]))
+
+
 def identify(docs: DataFrame, model: LangModel, carry: list[str] = ()) -> DataFrame:
     """Add lang_pred, score and rejected to the columns named in ``carry``, one row per input row.
 
@@ -233,17 +246,9 @@ def identify(docs: DataFrame, model: LangModel, carry: list[str] = ()) -> DataFr
     are rejected. Repeated rows are judged each for itself; whole texts are scored. An empty table gives no
     rows; columns not carried are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").cast("string").alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__text"]
+    return _judged(docs, model, carry).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), (F.col("__score") < 0.5).alias("rejected"))
 
-    def judge(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                langs, scores = shared.value.judge(part.column("__text").to_pylist())
-                columns = [part.column(i) for i in range(len(kinds))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[: len(kinds)], "__lang", "__score"])
-
-    out = in_arrow(own, judge, ", ".join([*kinds, "__lang string", "__score double"]))
-    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), (F.col("__score") < 0.5).alias("rejected"))
+
+def known_language(docs: DataFrame, model: LangModel) -> DataFrame:
+    """The rows of ``docs``, whatever their columns' names, whose language isn't rejected."""
+    return _judged(docs, model, docs.columns).where("__score >= 0.5").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
