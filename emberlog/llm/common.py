@@ -26,9 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (local tests only) a fresh temp folder."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, gets a temp folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="emberlog-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,16 +64,48 @@ def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
+#: Paths of the tables written so far, oldest first.
+WRITTEN: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_dir(spark)}/emberlog/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(drop_path, spark, path)
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Write ``df``, whose rows of one key lie in one partition of a hash of the key, as a table of ``buckets`` files
+    sorted by the key, in the shared folder. Joins on the key read it without shuffle or sort."""
+    spark, ordering = df.sparkSession, "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    name, before = f"emberlog_{uuid.uuid4().hex}", spark.conf.get(ordering)
+    path = f"{shared_dir(spark)}/emberlog/{label}-{name}"
+    spark.conf.set(ordering, "true")
+    try:
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    finally:
+        spark.conf.set(ordering, before)
+    _remember(spark, path)
+    return spark.table(name)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    WRITTEN.append(path)
+    atexit.register(drop_path, spark, path)
+
+
+def drop_written(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the tables written since ``WRITTEN`` had that length, except the last ``but``."""
+    gone = WRITTEN[since : len(WRITTEN) - but]
+    del WRITTEN[since : len(WRITTEN) - but]
+    for path in gone:
+        drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged table; a stopped session leaves it to the folder's own expiry."""
     context = spark.sparkContext
