@@ -1,6 +1,6 @@
 """Quality rules per document and per host, in DataFrame functions only.
 
-Each text is counted once; rule failures are summed by host, the failure rates are shrunk with a beta prior
+Each text is counted once and the counts are written down; rule failures are summed by host, the failure rates are shrunk with a beta prior
 fitted to all hosts by moments, and hosts whose shrunk rate is too high lose their documents.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, text_of
+from .common import WHITE, let, staged, text_of
 
 #: Rules by name: SQL conditions over the counts that mean failure.
 RULES = {
@@ -23,16 +23,25 @@ SYMBOLS = "#*$%&|<>"
 
 
 def _repeated(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. Windows are compared by 64-bit hash within one text."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    """Words inside 3-word windows that occur twice or more. Texts whose windows' hashes all differ have none; in
+    others windows are sorted, by hash first, and compared word by word."""
+    three = lambda i: (F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*three(i)))
+
+    def window(h: Column, i: Column) -> Column:
+        a, b, c = three(i)
+        return F.struct(h.alias("h"), a.alias("a"), b.alias("b"), c.alias("c"), i.alias("i"))
+
+    def same(x: Column, y: Column) -> Column:
+        return (x.h == y.h) & (x.a == y.a) & (x.b == y.b) & (x.c == y.c)
 
     def covered(hashes: Column) -> Column:
-        runs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = let(runs, lambda s: F.filter(s, lambda e, k: (e.h == F.get(s, k + 1).h) | ((k > 0) & (e.h == F.get(s, F.greatest(k - 1, F.lit(0))).h))))
+        runs = F.sort_array(F.transform(hashes, window))
+        twice = let(runs, lambda s: F.filter(s, lambda e, k: F.coalesce(same(e, F.get(s, k + 1)), F.lit(False)) | ((k > 0) & same(e, F.get(s, F.greatest(k - 1, F.lit(0)))))))
         places = F.sort_array(F.transform(twice, lambda e: e.i))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    counted = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(words) >= 4, counted).otherwise(F.lit(0).cast("long"))
 
 
@@ -73,7 +82,7 @@ def quality_rules(docs: DataFrame, limit: float = 0.5) -> DataFrame:
     has no words and fails the base rules. Null is a host of its own. Repeated rows are judged each for
     itself. An empty table gives no rows; other columns are ignored.
     """
-    counts = document_counts(docs)
+    counts = staged(document_counts(docs), "quality-counts")
     judged = counts.withColumns({f"fail_{r}": F.expr(c) for r, c in RULES.items()})
     hosts = host_verdicts(judged, limit).select(F.col("host").alias("h"), "host_kept")
     base = F.expr(" or ".join(f"fail_{r}" for r in BASE))
