@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming, in DataFrame functions only.
 
-The normalised text is cut into fixed-size byte blocks. Distinct blocks are sorted and numbered: equal
-blocks get one integer name. Adjacent names are then paired, the distinct pairs sorted and numbered in
+The normalised text is cut into fixed-size byte blocks. Distinct blocks are sorted, in the order of their 64-bit
+keys, and numbered: equal blocks get one integer name. Adjacent names are then paired, the distinct pairs sorted and numbered in
 turn, until one name is left per document. Names are handed back through a 64-bit block key; that key is
 proved collision-free over the distinct blocks first (else another seed is drawn), so identities are
 exact, while text is shuffled only once and after map-side de-duplication.
@@ -72,7 +72,9 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     doc_id and one text exactly one is kept. An empty table gives no rows; other columns are ignored.
     """
     named = name_documents(docs, block_bytes)
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    named = staged(named, "block-identities")
+    # Written down, so that the join below has a shuffle of its own, whose hot groups Spark can split.
+    groups = staged(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")), "block-groups")
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
