@@ -48,10 +48,14 @@ def source_targets(sized: DataFrame, limit: float = LIMIT) -> DataFrame:
     return ranked.withColumn("target", target.cast("double")).join(sources.select(F.col("source").alias("s"), "docs"), F.expr("source <=> s")).drop("s")
 
 
-def solve_rates(sized: DataFrame, targets: DataFrame, limit: float = LIMIT, tolerance: float = 1e-6, steps: int = 40) -> DataFrame:
-    """Newton on the dual: (source, tilt, mean) with sum(size * min(limit, exp(tilt * size / mean))) near target."""
+def solve_rates(sized: DataFrame, targets: DataFrame, limit: float = LIMIT, tolerance: float = 1e-6, steps: int = 200) -> DataFrame:
+    """Newton on the dual: (source, tilt, mean) with sum(size * min(limit, exp(tilt * size / mean))) near target.
+
+    A source that hasn't met its target after ``steps`` steps raises; the bracket grows without bound and is halved
+    where Newton leaves it, so some dozen steps are usual.
+    """
     state = staged(
-        targets.where("source_size > 0").select("source", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("low"), F.lit(None).cast("double").alias("high")),
+        targets.where("source_size > 0").select("source", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")),
         "mix-state",
     )
     histogram = staged(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), "size", "n"), "mix-histogram")
@@ -62,31 +66,31 @@ def solve_rates(sized: DataFrame, targets: DataFrame, limit: float = LIMIT, tole
         # Sums per source only: partial aggregation keeps a hot source to one row a task.
         sums = histogram.join(state, F.expr("s <=> source")).groupBy("s").agg(F.sum(mass).alias("got"), F.sum(F.when(rate < limit, mass * x).otherwise(0.0)).alias("slope"))
         gap = F.col("got") - F.col("target")
-        low = F.when(gap < 0, F.greatest("low", "tilt")).otherwise(F.col("low"))
+        low = F.when(gap < 0, F.greatest(F.coalesce("low", "tilt"), "tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.least(F.coalesce("high", "tilt"), "tilt")).otherwise(F.col("high"))
         met = F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0))
         full = F.col("target") >= limit * F.col("source_size") * (1 - 1e-12)
         moved = state.join(sums, F.expr("source <=> s")).select("source", "source_size", "target", "mean", "tilt", low.alias("low"), high.alias("high"), (F.col("tilt") - gap / F.when(F.col("slope") > 0, F.col("slope"))).alias("newton"), met.alias("met"), full.alias("full"))
-        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("low")) & (F.col("high").isNull() | (F.col("newton") < F.col("high")))
-        between = F.when(F.col("high").isNull(), F.greatest(F.lit(1.0), F.col("low") * 2 + 1)).otherwise((F.col("low") + F.col("high")) / 2)
+        inside = F.col("newton").isNotNull() & (F.col("low").isNull() | (F.col("newton") > F.col("low"))) & (F.col("high").isNull() | (F.col("newton") < F.col("high")))
+        between = F.when(F.col("high").isNull(), F.greatest(F.lit(1.0), F.col("low") * 2 + 1)).when(F.col("low").isNull(), F.least(F.lit(-1.0), F.col("high") * 2 - 1)).otherwise((F.col("low") + F.col("high")) / 2)
         tilt = F.when(F.col("full"), 1e9).when(F.col("met"), F.col("tilt")).when(inside, F.col("newton")).otherwise(between)
         state = staged(moved.select("source", "source_size", "target", "mean", tilt.alias("tilt"), "low", "high", (F.col("met") | F.col("full")).alias("over")), "mix-state")
         if not state.where("not over").limit(1).count():
-            break
+            return state.select("source", "tilt", "mean")
         state = state.drop("over")
-    return state.select("source", "tilt", "mean")
+    raise ArithmeticError(f"a source is not within {tolerance} of its target after {steps} steps")
 
 
 def _diffuse(rows: pd.DataFrame) -> pd.DataFrame:
     """Round rates to copies from the longest document down; each carries the words still owed."""
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    rows = rows.sort_values(["size", "doc_id", "h"], ascending=[False, True, True], kind="stable")
     owed, copies = 0.0, []
     for size, rate in zip(rows["size"], rows["rate"]):
         want = owed + rate * size
         n = min(LIMIT, max(0, math.floor(want / size + 0.5))) if size else 0
         owed = want - n * size
         copies.append(n)
-    return rows.assign(copies=copies).drop(columns=["rate", "bucket"])
+    return rows.assign(copies=copies).drop(columns=["rate", "bucket", "h"])
 
 
 def mix(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
@@ -97,7 +101,7 @@ def mix(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
     rows are weighed each for itself. Reruns agree, whatever the layout. An empty table gives no rows; other
     columns are ignored.
     """
-    return _mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(text_of()).alias("size")), bucket_docs)
+    return _mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), word_count(text_of()).alias("size"), F.xxhash64(text_of()).alias("h")), bucket_docs).drop("h")
 
 
 def _mix(sized: DataFrame, bucket_docs: int) -> DataFrame:
@@ -106,11 +110,11 @@ def _mix(sized: DataFrame, bucket_docs: int) -> DataFrame:
     rates = solve_rates(sized, targets)
     plan = targets.join(rates.withColumnRenamed("source", "r"), F.expr("source <=> r"), "left").select(F.col("source").alias("s"), "source_size", "target", "docs", "tilt", "mean")
     rate = F.when(F.col("size") > 0, F.least(F.lit(float(LIMIT)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(20.0))))).otherwise(0.0)
-    salt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.ceil(F.col("docs") / bucket_docs)).cast("long")
-    rows = sized.join(plan, F.expr("source <=> s")).select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), salt.alias("bucket"))
+    salt = F.pmod(F.xxhash64("doc_id", "h"), F.ceil(F.col("docs") / bucket_docs)).cast("long")
+    rows = sized.join(plan, F.expr("source <=> s")).select("doc_id", "source", "size", "h", "source_size", "target", rate.alias("rate"), salt.alias("bucket"))
     kind = rows.schema["source"].dataType.simpleString()
-    out = rows.withColumn("tilted", F.col("rate")).groupBy("source", "bucket").applyInPandas(_diffuse, f"doc_id long, source {kind}, size long, source_size long, target double, tilted double, copies int")
-    return out.withColumnRenamed("tilted", "rate")
+    out = rows.withColumns({"tilted": F.col("rate"), "text_h": F.col("h")}).groupBy("source", "bucket").applyInPandas(_diffuse, f"doc_id long, source {kind}, size long, source_size long, target double, tilted double, text_h long, copies int")
+    return out.withColumnsRenamed({"tilted": "rate", "text_h": "h"})
 
 
 def mixed_documents(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
@@ -118,12 +122,12 @@ def mixed_documents(docs: DataFrame, bucket_docs: int = 1000) -> DataFrame:
 
     Rows alike in doc_id, source and size share their copies out by rank, so repeated rows work too.
     """
-    keys = ["doc_id", "source", "size"]
+    keys = ["doc_id", "source", "size", "h"]
     same = lambda by: F.row_number().over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy(by))
-    sized = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": word_count(text_of())})
+    sized = docs.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": word_count(text_of()), "__h": F.xxhash64(text_of())})
     taken = _mix(sized.select(*[F.col(f"__{k}").alias(k) for k in keys]), bucket_docs).where("copies > 0")
     taken = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], "copies").withColumn("__rank", same(F.desc("copies")))
     taken = taken.select(*[F.col(f"__{k}").alias(f"__t_{k}") for k in (*keys, "rank")], "copies")
-    ranked = sized.withColumn("__rank", same(F.xxhash64(text_of())))
+    ranked = sized.withColumn("__rank", same(F.lit(1)))
     both = ranked.join(taken.withColumnRenamed("copies", "__copies"), F.expr(" and ".join(f"__{k} <=> __t_{k}" for k in (*keys, "rank"))))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
