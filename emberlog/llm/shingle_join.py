@@ -388,21 +388,26 @@ class ShingleJoin:
     def _across(self, placed: DataFrame) -> DataFrame:
         """Join tiles with others that they share a key of several components with. Only the classes that hold such
         a key go along, and two tiles whose holders of it are all of one component need no look."""
-        entries = self.shared.join(placed.select("cid", "comp", "tile"), "cid")
+        entries = self.shared.join(placed.select("cid", "n", "comp", "tile"), "cid")
         keys = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("tile").alias("t0"), F.max("tile").alias("t1")).where("c0 <> c1 and t0 <> t1").select("key")
         entries = staged(entries.join(keys, "key"), "join-mixed")
         if not entries.limit(1).count():
             return placed
-        tiles = entries.groupBy("key", "tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        tiles = entries.groupBy("key", "tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         most = entries.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
         # Of each two tiles that must meet at a key, one has holders outside the key's main component.
-        odd = tiles.join(most, "key").where("c0 <> main or c1 <> main").select("key", F.col("tile").alias("t"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-        meet = odd.join(tiles, "key").where("t <> tile and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", F.least("t", "tile").alias("t0"), F.greatest("t", "tile").alias("t1")).distinct()
-        sides = meet.select("key", F.col("t0").alias("tile"), F.concat_ws("|", "t0", "t1").alias("pair"), F.lit(0).alias("side")).unionByName(meet.select("key", F.col("t1").alias("tile"), F.concat_ws("|", "t0", "t1").alias("pair"), F.lit(1).alias("side")))
-        rows = staged(entries.join(sides, ["key", "tile"]).select("cid", "comp", F.col("pair").alias("tile"), "side").distinct(), "join-across")
-        wanted = placed.select("cid", "rep").join(rows.select("cid").distinct(), "cid", "left_semi")
-        sets = staged(self._sets(wanted), "join-sets")
-        links = self._solved(rows.join(sets.dropDuplicates(["cid"]), "cid"))
+        of = lambda x: [F.struct("tile", "c0", "c1", "n0", "n1").alias(x)]
+        odd = tiles.join(most, "key").where("c0 <> main or c1 <> main").select("key", *of("x"))
+        meet = odd.join(tiles.select("key", *of("y")), "key").where("x.tile <> y.tile and 4 * x.n1 >= 3 * y.n0 and 4 * y.n1 >= 3 * x.n0 and not (x.c0 = x.c1 and y.c0 = y.c1 and x.c0 = y.c0)")
+        meet = meet.select("key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct().withColumn("pair", F.concat_ws("|", "p.tile", "q.tile"))
+        ways = [meet.select("key", F.col(f"{own}.tile").alias("tile"), "pair", F.lit(side).alias("side"), F.col(other).alias("o")) for side, (own, other) in enumerate((("p", "q"), ("q", "p")))]
+        # A holder goes along if the other tile has a holder of the key that it might link with, and if the two share keys enough.
+        going = entries.join(ways[0].unionByName(ways[1]), ["key", "tile"]).where("4 * o.n1 >= 3 * n and 4 * n >= 3 * o.n0 and not (o.c0 = o.c1 and o.c0 = comp)")
+        rows = going.groupBy("pair", "side", "cid", "n", "comp").agg(F.count("*").alias("keys"), F.min("o.n0").alias("n0"), F.max("o.n1").alias("n1")).where(F.col("keys") >= _least_keys())
+        rows = staged(rows.select("pair", "side", "cid", "comp"), "join-across")
+        both = rows.groupBy("pair").agg(F.min("side").alias("s0"), F.max("side").alias("s1")).where("s0 <> s1").select("pair")
+        rows = rows.join(both, "pair").join(placed.select("cid", "rep"), "cid").select("rep", "cid", "comp", F.col("pair").alias("tile"), "side")
+        links = self._solved(self._sets(staged(rows, "join-across")))
         comps = components(links).select("id", F.col("comp").alias("to"))
         return placed.join(comps, F.col("comp") == F.col("id"), "left").select("cid", F.coalesce("to", "comp").alias("comp"))
 
@@ -416,12 +421,16 @@ class ShingleJoin:
             ids = F.broadcast(ids)
 
         def sets(batches):
+            seen = set()
             for batch in batches:
                 own = [shingles(t, width) for t in batch.column("text").to_pylist()]
                 _WORDS.trim()
-                right = np.array([class_key(x, seed) if len(x) else None for x in own], object) == np.array(batch.column("cid").to_pylist(), object)
-                at = np.flatnonzero(right)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array([own[i].tobytes() for i in at], pa.binary())], [*names, "own"])
+                at = []
+                for i, (x, cid, tile) in enumerate(zip(own, batch.column("cid").to_pylist(), batch.column("tile").to_pylist())):
+                    if len(x) and class_key(x, seed) == cid and (cid, tile) not in seen:  # else another row of that doc_id, or a repeated one
+                        seen.add((cid, tile))
+                        at.append(i)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in names), pa.array([own[i].tobytes() for i in at], pa.binary())], [*names, "own"])
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
         found = self.docs.alias("d").join(ids.alias("w"), F.expr("d.doc_id <=> w.r and d.h = w.h")).select("text", *names)
@@ -433,6 +442,14 @@ def _parts(tile: int):
     return F.ceil(F.greatest(F.count("*") / F.lit(tile), F.sum("n") * 8 / F.lit(TILE_BYTES))).cast("int")
 
 
+def _least_keys():
+    """Keys that a set of n shingles must share with one of n0 to n1 to link with it. All shingles of the prefix that ends
+    first which the other set holds are in its prefix too, so the overlap is at most these and what follows that prefix:
+    keys >= 3(n + m)/7 - 3 max(n, m)/4, least at the smallest or the largest m that is possible."""
+    low, high = F.greatest("n0", F.col("n") * 0.75), F.least("n1", F.col("n") / 0.75)
+    return F.least(*[3 * (F.col("n") + m) / 7 - 3 * F.greatest("n", m) / 4 for m in (low, high)]) - 1e-6
+
+
 def _tile(cid: str, turn: int):
     return F.concat_ws("/", F.lit(turn), "label", F.pmod(F.xxhash64(cid, F.lit(turn)), F.col("parts")))
 
