@@ -32,9 +32,9 @@ from .common import in_arrow, partitions, prepare, staged, text_of
 from .components import components
 
 #: Hash groups of a tile's count vectors: about one for two shingles of its largest set, within these.
-FEWEST_GROUPS, MOST_GROUPS = 256, 1 << 15
+FEWEST_GROUPS, MOST_GROUPS = 256, 1 << 12
 #: Classes of a tile, and bytes of their sets, at most (one set may be larger).
-TILE, TILE_BYTES = 256, 16 << 20
+TILE, TILE_BYTES = 256, 8 << 20
 #: Cells of the sketch, and cells sent in one piece.
 CELLS, PIECE = 1 << 22, 1 << 16
 #: A shingle whose sketch cell counted more than this may have too many classes for one task.
@@ -43,7 +43,7 @@ HOT = 1 << 15
 FAN = 16
 #: Sides up to this many bytes are sent to all executors; larger ones are joined by shuffle.
 SEND_BYTES = 16 << 20
-#: Bytes of a row of class keys and tile names, about.
+#: Bytes of a row of class keys and tile ids, about.
 ROW_BYTES = 96
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,8 +55,8 @@ class _Words(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def trim(self) -> None:
-        if len(self) > 100_000:
+    def trim(self, most: int = 50_000) -> None:
+        if len(self) > most:
             self.clear()
 
 
@@ -120,6 +120,7 @@ def _profiles(seed: int, width: int):
             _WORDS.trim()
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(proof, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
+        _WORDS.trim(0)
         for piece in range(CELLS // PIECE):
             own = counts[piece * PIECE : (piece + 1) * PIECE]
             if own.any():
@@ -175,6 +176,7 @@ def _routes(shared, seed: int, width: int, routes: int, hot: int):
             starts = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
             ends = np.append(starts[1:], len(tag))
             yield pa.RecordBatch.from_arrays([pa.array((tag[starts] >> 1).astype(np.int32)), pa.array((tag[starts] & 1).astype(bool)), pa.array([pairs[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["route", "hot", "pairs"])
+        _WORDS.trim(0)
 
     return run
 
@@ -399,7 +401,7 @@ class ShingleJoin:
         of = lambda x: [F.struct("tile", "c0", "c1", "n0", "n1").alias(x)]
         odd = tiles.join(most, "key").where("c0 <> main or c1 <> main").select("key", *of("x"))
         meet = odd.join(tiles.select("key", *of("y")), "key").where("x.tile <> y.tile and 4 * x.n1 >= 3 * y.n0 and 4 * y.n1 >= 3 * x.n0 and not (x.c0 = x.c1 and y.c0 = y.c1 and x.c0 = y.c0)")
-        meet = meet.select("key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct().withColumn("pair", F.concat_ws("|", "p.tile", "q.tile"))
+        meet = meet.select("key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct().withColumn("pair", F.xxhash64("p.tile", "q.tile"))
         ways = [meet.select("key", F.col(f"{own}.tile").alias("tile"), "pair", F.lit(side).alias("side"), F.col(other).alias("o")) for side, (own, other) in enumerate((("p", "q"), ("q", "p")))]
         # A holder goes along if the other tile has a holder of the key that it might link with, and if the two share keys enough.
         going = entries.join(ways[0].unionByName(ways[1]), ["key", "tile"]).where("4 * o.n1 >= 3 * n and 4 * n >= 3 * o.n0 and not (o.c0 = o.c1 and o.c0 = comp)")
@@ -431,6 +433,7 @@ class ShingleJoin:
                         seen.add((cid, tile))
                         at.append(i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in names), pa.array([own[i].tobytes() for i in at], pa.binary())], [*names, "own"])
+            _WORDS.trim(0)
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
         found = self.docs.alias("d").join(ids.alias("w"), F.expr("d.doc_id <=> w.r and d.h = w.h")).select("text", *names)
@@ -451,7 +454,8 @@ def _least_keys():
 
 
 def _tile(cid: str, turn: int):
-    return F.concat_ws("/", F.lit(turn), "label", F.pmod(F.xxhash64(cid, F.lit(turn)), F.col("parts")))
+    """Tile id. Tiles or pairs of tiles whose ids happen to be equal are joined as one, which loses nothing."""
+    return F.xxhash64(F.lit(turn), "label", F.pmod(F.xxhash64(cid, F.lit(turn)), F.col("parts")))
 
 
 def shingle_components(docs: DataFrame, width: int = 5, hot: int = HOT, tile: int = TILE) -> DataFrame:
