@@ -47,13 +47,24 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` whose worker hands memory back to the machine at a task's end, as workers
-    outlive their tasks."""
+#: What operators keep in a Python worker between tasks, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def in_arrow(df: DataFrame, run, schema: str, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` whose worker, which outlives its tasks, drops what operators other than ``keeps`` left in it and
+    hands memory back to the machine at a task's end."""
 
     def lean(batches):
+        import emberlog.llm.common as worker
+
+        for operator, cache in worker.CACHES.items():
+            if operator != keeps:
+                cache.clear()
         pa.set_memory_pool(pa.system_memory_pool())
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         for out in run(batches):
             yield out
             del out

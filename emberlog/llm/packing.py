@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, text_of
+from .common import CACHES, in_arrow, text_of
 
 #: Token id that ends a document.
 END_ID = 1
 #: Bound on each cache of one Python worker.
 CACHE_CHUNKS = 200_000
 
-_WORKER: dict = {}
+_WORKER = CACHES.setdefault("packing", {})
 _UNEVEN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -178,4 +178,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, block_t
     are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return in_arrow(rows, _packer(vocabulary, length, block_tokens, linear, quadratic), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return in_arrow(rows, _packer(vocabulary, length, block_tokens, linear, quadratic), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary", "packing")

@@ -487,10 +487,15 @@ def one_per_component(docs: DataFrame, width: int = 5) -> DataFrame:
     Of a component that has only null doc_ids one row stays; null rows of other components go.
     """
     comps = staged(_components(ShingleJoin(docs, width)), "join-components")
-    kept = comps.where("doc_id is not null and (n_shingles = 0 or component_id = doc_id)").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    repeats = Window.partitionBy("doc_id", F.xxhash64(*docs.columns), "text").orderBy(F.lit(1))
-    once = stay.withColumn("__repeat", F.row_number().over(repeats)).where("__repeat = 1").drop("__repeat")
+    kept = staged(comps.where("doc_id is not null and (n_shingles = 0 or component_id = doc_id)").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "join-kept")
+    ids = F.broadcast(kept) if kept.count() * 16 <= SEND_BYTES else kept
+    stay = lambda some: docs.join(ids.where(some), F.col("doc_id") == F.col("__kept"), "left_semi")
+    once = stay("__rows = 1")
+    if kept.where("__rows > 1").limit(1).count():
+        repeats = Window.partitionBy("doc_id", F.xxhash64(*docs.columns), "text").orderBy(F.lit(1))
+        once = once.unionByName(stay("__rows > 1").withColumn("__repeat", F.row_number().over(repeats)).where("__repeat = 1").drop("__repeat"))
+    if not comps.where("doc_id is null").limit(1).count():
+        return once
     # Rows without doc_id are found by their text's hash; of a component of such rows the least text stays.
     nameless = comps.where("doc_id is null").select("h", "n_shingles", "component_id", "comp").distinct()
     first = nameless.where("n_shingles > 0 and component_id is null").groupBy("comp").agg(F.min("h").alias("__h"))
