@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import auto_id, now_ns
-from ..schema import DEFAULT_SHARDS, derived, normalise
+from ..schema import COLUMNS, DEFAULT_SHARDS, derived, normalise
 from .search import first_by_id
 
 
@@ -31,6 +31,15 @@ def prepared(rows: DataFrame, shards: int = DEFAULT_SHARDS, received_ns: Column
     return derived(own, shards)
 
 
+def with_stable_ids(rows: DataFrame, batch: str) -> DataFrame:
+    """``rows`` normalised, those without id given one by the batch's name, their content and their rank among equal
+    rows, so that a batch that comes again brings the same ids."""
+    own = normalise(rows).withColumn("__content", F.sha2(F.concat_ws("\x01", F.lit(batch), F.to_json(F.struct(*COLUMNS))), 256))
+    ranked = own.withColumn("__rank", F.row_number().over(Window.partitionBy("__content").orderBy("timestamp_ns")))
+    made = F.concat(F.lit("auto-"), F.substring(F.sha2(F.concat_ws("/", "__content", "__rank"), 256), 1, 16))
+    return ranked.withColumn("id", F.when(F.col("id") == "", made).otherwise(F.col("id"))).select(*COLUMNS)
+
+
 def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """The batch's first entry of each id that isn't stored. Only the stored ids are read."""
     return first_by_id(batch, "received_at_ns", "timestamp_ns", "message").join(stored.select("id"), "id", "left_anti")

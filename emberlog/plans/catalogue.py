@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens
+from ..plans.language import parse, required_tokens
 from ..operators import cluster, index, ingest, maintenance
 from ..operators.merge import merged
 from ..operators.search import LogQuery, first_by_id, matching, page
@@ -28,8 +29,8 @@ TOKENS = "list_filter(string_split_regex(lower(message), '[^a-z0-9]+'), lambda x
 LOGS = f"""
 with raw_logs as (
   select 'evt-' || lpad(event_id::varchar, 10, '0') as id, epoch_us(ts) * 1000 as timestamp_ns, epoch_us(ts) * 1000 as received_at_ns,
-         (['team-alpha', 'team-beta', 'team-gamma', ''])[user_id % 4 + 1] as namespace,
-         (['auth', 'billing', 'api', 'worker', 'scheduler'])[user_id % 5 + 1] as service,
+         (['tenant-red', 'tenant-blue', 'tenant-green', ''])[user_id % 4 + 1] as namespace,
+         (['accounts', 'payments', 'search', 'indexer', 'planner'])[user_id % 5 + 1] as service,
          case event_type when 'error' then 'ERROR' when 'purchase' then 'WARN' else 'INFO' end as level,
          event_type || ' event from user-' || user_id || ' [k=' || json_extract_string(props, '$.k') || ']' as message,
          json_extract_string(props, '$.k') as k, event_id
@@ -65,8 +66,8 @@ def has(token: str) -> str:
     return f"list_contains(tokens, '{token}')"
 
 
-search("flt1_namespace", LogQuery(namespace="team-beta"), "namespace = 'team-beta'")
-search("flt2_service", LogQuery(service="api"), "service = 'api'")
+search("flt1_namespace", LogQuery(namespace="tenant-blue"), "namespace = 'tenant-blue'")
+search("flt2_service", LogQuery(service="search"), "service = 'search'")
 search("flt34_time_range", LogQuery(start_ns=JAN[5], end_ns=JAN[9]), f"timestamp_ns between {JAN[5]} and {JAN[9]}")
 search("flt3_unbounded", LogQuery("signup", start_ns=-5, end_ns=0), has("signup"))
 search("flt5_term", LogQuery("signup"), has("signup"))
@@ -74,24 +75,24 @@ search("flt5_term_documents", LogQuery("QUE"), has("que"), doc_logs, DOCLOGS, "d
 search("flt5_no_substring", LogQuery("sign OR purch"), "false")
 search("flt6_message_field", LogQuery("message:Purchase"), has("purchase"))
 search("flt7_level_fold", LogQuery("level:eRRor"), "lower(level) = 'error'")
-search("flt8_service_field", LogQuery("service:worker"), "service = 'worker'")
+search("flt8_service_field", LogQuery("service:indexer"), "service = 'indexer'")
 search("flt9_default_namespace", LogQuery("namespace:"), "namespace = ''")
 search("flt10_map_field", LogQuery("k:9"), "k = '9'")
 search("flt10_missing_key", LogQuery("trace: AND signup"), has("signup"))
 search("flt10_documents", LogQuery("n_chars:1411 OR n_chars:715"), "n_chars in ('1411', '715')", doc_logs, DOCLOGS, "doclogs")
-search("flt11_and", LogQuery("error AND service:api"), f"{has('error')} and service = 'api'")
+search("flt11_and", LogQuery("error AND service:search"), f"{has('error')} and service = 'search'")
 search("flt12_or", LogQuery("signup OR purchase"), f"{has('signup')} or {has('purchase')}")
 search("flt13_match_all", LogQuery(" \t "), "true")
 search("flt14_field_case", LogQuery("LEVEL:warn AND K:9"), "false")
 search("flt14_id_is_a_map_key", LogQuery("id:evt-0000000001"), "false")
-search("lng1_brackets", LogQuery("(signup)AND(service:auth)"), f"{has('signup')} and service = 'auth'")
-search("lng2_precedence", LogQuery("signup OR error AND service:api"), f"{has('signup')} or ({has('error')} and service = 'api')")
-search("lng2_grouping", LogQuery("(error OR level:warn) AND service:api", namespace="team-beta"), f"({has('error')} or level = 'WARN') and service = 'api' and namespace = 'team-beta'")
+search("lng1_brackets", LogQuery("(signup)AND(service:accounts)"), f"{has('signup')} and service = 'accounts'")
+search("lng2_precedence", LogQuery("signup OR error AND service:search"), f"{has('signup')} or ({has('error')} and service = 'search')")
+search("lng2_grouping", LogQuery("(error OR level:warn) AND service:search", namespace="tenant-blue"), f"({has('error')} or level = 'WARN') and service = 'search' and namespace = 'tenant-blue'")
 search("lng3_first_colon", LogQuery("k:9:1 OR k:3"), "k = '3'")
 search("lng4_words_not_operators", LogQuery("and OR NOT"), f"{has('and')} or {has('not')}", doc_logs, DOCLOGS, "doclogs")
 
-FLAGSHIP = LogQuery("error AND service:api", namespace="team-beta", start_ns=JAN[2], end_ns=JAN[25], limit=20)
-FLAGSHIP_WHERE = f"{has('error')} and service = 'api' and namespace = 'team-beta' and timestamp_ns between {JAN[2]} and {JAN[25]}"
+FLAGSHIP = LogQuery("error AND service:search", namespace="tenant-blue", start_ns=JAN[2], end_ns=JAN[25], limit=20)
+FLAGSHIP_WHERE = f"{has('error')} and service = 'search' and namespace = 'tenant-blue' and timestamp_ns between {JAN[2]} and {JAN[25]}"
 
 
 @add("flagship", f"{LOGS} select {COLUMNS}, message from logs where {FLAGSHIP_WHERE} order by timestamp_ns desc, id limit 20")
@@ -237,18 +238,18 @@ def _zones(spark, sf_dir):
     "idx3_resolve",
     f"""{LOGS}, p as (select distinct unnest(tokens) as token, segment from logs)
     select segment from logs group by segment
-    having max(timestamp_ns) >= {JAN[3]} and min(timestamp_ns) <= {JAN[28]} and count(*) filter (service = 'api') > 0 and count(*) filter (namespace = 'team-beta') > 0
+    having max(timestamp_ns) >= {JAN[3]} and min(timestamp_ns) <= {JAN[28]} and count(*) filter (service = 'search') > 0 and count(*) filter (namespace = 'tenant-blue') > 0
        and segment in (select segment from p where token in ('error', '9') group by segment having count(*) = 2)""",
 )
 def _resolve(spark, sf_dir):
     own = logs(spark, sf_dir)
-    return index.resolve(index.postings(own), index.label_postings(own), index.zone_map(own), ["error", "9"], "team-beta", "api", JAN[3], JAN[28])
+    return index.resolve(index.postings(own), index.label_postings(own), index.zone_map(own), ["error", "9"], "tenant-blue", "search", JAN[3], JAN[28])
 
 
-@add("idx4_pruned_search", f"{LOGS} select {COLUMNS} from logs where {has('error')} and {has('9')} and service = 'api'")
+@add("idx4_pruned_search", f"{LOGS} select {COLUMNS} from logs where {has('error')} and {has('9')} and service = 'search'")
 def _pruned(spark, sf_dir):
-    own, q = logs(spark, sf_dir), LogQuery("error AND 9", service="api")
-    kept = index.resolve(index.postings(own), index.label_postings(own), index.zone_map(own), ["error", "9"], service="api")
+    own, q = logs(spark, sf_dir), LogQuery("error AND 9", service="search")
+    kept = index.resolve(index.postings(own), index.label_postings(own), index.zone_map(own), required_tokens(parse(q.query)), service=q.service)
     return matching(index.prune(own, kept), q).select(*SHOWN)
 
 
@@ -263,12 +264,12 @@ def _removed(spark, sf_dir):
     return index.without_segments(own, own.select("segment").distinct().where("segment < 19735")).groupBy("token").agg(F.count("*").alias("segments"))
 
 
-COPIES = "select *, 0 as copy from logs union all select * replace ('COPY' as level, segment + 1 as segment), 1 as copy from logs where service = 'auth'"
+COPIES = "select *, 0 as copy from logs union all select * replace ('COPY' as level, segment + 1 as segment), 1 as copy from logs where service = 'accounts'"
 
 
 def _with_copies(spark, sf_dir):
     own = logs(spark, sf_dir)
-    again = own.where("service = 'auth'").withColumns({"level": F.lit("COPY"), "segment": F.col("segment") + 1})
+    again = own.where("service = 'accounts'").withColumns({"level": F.lit("COPY"), "segment": F.col("segment") + 1})
     return own.unionByName(again)
 
 
@@ -285,13 +286,13 @@ def _distinct(spark, sf_dir):
 @add("dq4_merge", f"{LOGS} select {COLUMNS} from logs where {has('signup')} order by timestamp_ns desc, id limit 50 offset 10")
 def _merge(spark, sf_dir):
     own = matching(logs(spark, sf_dir), LogQuery("signup"))
-    parts = [own.where("service in ('auth', 'api')"), own.where("service <> 'auth'")]
+    parts = [own.where("service in ('accounts', 'search')"), own.where("service <> 'accounts'")]
     return page(merged(parts).select(*SHOWN), 50, 10)
 
 
-@add("dq1_shard_pruned", f"{LOGS} select {COLUMNS} from logs where namespace = 'team-beta' and service = 'api'")
+@add("dq1_shard_pruned", f"{LOGS} select {COLUMNS} from logs where namespace = 'tenant-blue' and service = 'search'")
 def _shard_pruned(spark, sf_dir):
-    return matching(logs(spark, sf_dir), LogQuery(namespace="team-beta", service="api"), DEFAULT_SHARDS).select(*SHOWN)
+    return matching(logs(spark, sf_dir), LogQuery(namespace="tenant-blue", service="search"), DEFAULT_SHARDS).select(*SHOWN)
 
 
 def _sizes(spark, sf_dir):

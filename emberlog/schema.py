@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,4 +49,9 @@ def derived(df: DataFrame, shards: int = DEFAULT_SHARDS) -> DataFrame:
 
 
 def event_date(column: str):
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(column) / F.lit(float(DAY_NS))).cast("int"))
+    return F.date_add(F.lit("1970-01-01").cast("date"), floor_div(column, DAY_NS).cast("int"))
+
+
+def floor_div(column: str, by: int) -> Column:
+    """The whole number at or under column / by, in integers throughout: doubles lose the last nanoseconds of a day."""
+    return F.expr(f"`{column}` div {by}L - if(`{column}` % {by}L < 0, 1, 0)")

@@ -8,7 +8,9 @@ from __future__ import annotations
 import glob
 import os
 import re
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -142,32 +144,47 @@ class _Reader(DataSourceReader):
 @dataclass
 class _Written(WriterCommitMessage):
     rows: int
+    attempt: str
+    files: int
 
 
 class _Writer(DataSourceWriter):
-    """Each task fills its own numbered segments, closing one before a record would overfill it."""
+    """Each attempt of a task fills files in a folder of its own, closing one before a record would overfill it. The
+    commit alone makes segments of them, numbered after those there are; what a lost attempt left is never read."""
 
     def __init__(self, folder: str, max_bytes: int):
         self.folder, self.max_bytes = folder, max_bytes
 
-    def write(self, rows) -> _Written:
-        from pyspark import TaskContext
+    def commit(self, messages: list) -> None:
+        done = [int(name[:20]) for name in os.listdir(self.folder) if _SEGMENT_NAME.fullmatch(name)] if os.path.isdir(self.folder) else []
+        number = max(done, default=0)
+        for message in filter(None, messages):
+            for i in range(message.files):
+                number += 1
+                os.rename(os.path.join(message.attempt, str(i)), os.path.join(self.folder, f"{number:020d}.seg"))
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        for message in filter(None, messages):
+            shutil.rmtree(message.attempt, ignore_errors=True)
 
-        os.makedirs(self.folder, exist_ok=True)
-        number, size, file, count = TaskContext.get().partitionId() * 1_000_000 + 1, 0, None, 0
+    def write(self, rows) -> _Written:
+        attempt = os.path.join(self.folder, f"_attempt-{uuid.uuid4().hex}")
+        os.makedirs(attempt)
+        number, size, file, count = 0, 0, None, 0
         for row in rows:
             record = framed(encode(row.asDict(recursive=True)))
             if file is None or size + len(record) > self.max_bytes and size:
                 if file:
                     file.close()
-                    number += 1
-                file, size = open(os.path.join(self.folder, f"{number:020d}.seg"), "wb"), 0
+                file, size = open(os.path.join(attempt, str(number)), "wb"), 0
+                number += 1
             file.write(record)
             size += len(record)
             count += 1
         if file:
             file.close()
-        return _Written(count)
+        return _Written(count, attempt, number)
 
 
 class SegmentSource(DataSource):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import COLUMNS, DAY_NS, DEFAULT_SHARDS, derived
+from ..schema import COLUMNS, DAY_NS, DEFAULT_SHARDS, derived, floor_div
 
-SERVICES = ("auth", "billing", "api", "worker", "scheduler")
-TENANTS = ("team-alpha", "team-beta", "team-gamma", "")
+SERVICES = ("accounts", "payments", "search", "indexer", "planner")
+TENANTS = ("tenant-red", "tenant-blue", "tenant-green", "")
 
 
 def _pick(index, values):
@@ -38,7 +38,7 @@ def logs(spark: SparkSession, sf_dir: str, shards: int = DEFAULT_SHARDS) -> Data
 
 
 def with_segment(df: DataFrame) -> DataFrame:
-    return df.withColumn("segment", F.floor(F.col("timestamp_ns") / F.lit(float(DAY_NS))).cast("long"))
+    return df.withColumn("segment", floor_div("timestamp_ns", DAY_NS))
 
 
 def doc_logs(spark: SparkSession, sf_dir: str, shards: int = DEFAULT_SHARDS) -> DataFrame:

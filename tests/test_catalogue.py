@@ -34,7 +34,7 @@ def test_plans_prune_and_push_down(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     engine = LogStore(spark, str(tmp_path / "logs"))
     engine.ingest_batch(raw_logs(spark, f"{DATA}/sf0.001"))
-    found = page(engine.find(LogQuery("error", "team-beta", "api", start_ns=catalogue.JAN[2], end_ns=catalogue.JAN[9])).select("id", "timestamp_ns"), 10)
+    found = page(engine.find(LogQuery("error", "tenant-blue", "search", start_ns=catalogue.JAN[2], end_ns=catalogue.JAN[9])).select("id", "timestamp_ns"), 10)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
     filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]

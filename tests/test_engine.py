@@ -10,6 +10,7 @@ from emberlog.functions.text import fnv1a32, folded, shard_of, tokenize
 from emberlog.operators import cluster, index, ingest, maintenance
 from emberlog.operators.cache import PageCache
 from emberlog.operators.merge import federated
+from emberlog.operators.ingest import with_stable_ids
 from emberlog.operators.search import InvalidQuery, LogQuery, QueryResult, first_by_id, newest_first
 from emberlog.plans.language import QuerySyntaxError, parse
 from emberlog.schema import COLUMNS, DAY_NS, derived, normalise
@@ -35,12 +36,12 @@ def ids(result):
 
 def test_basic_search(spark, engine):
     assert engine.search(LogQuery()).total == 0
-    engine.ingest_batch(make(spark, ("1", "", "auth", "INFO", "user login success", 100), ("2", "", "db", "ERROR", "connection timeout", 200), ("3", "", "auth", "WARN", "User Login failed", 300)))
-    assert ids(engine.search(LogQuery("login"))) == ["3", "1"]
+    engine.ingest_batch(make(spark, ("1", "", "dispatch", "INFO", "parcel left depot", 100), ("2", "", "db", "ERROR", "scale drift noted", 200), ("3", "", "dispatch", "WARN", "Parcel Went astray", 300)))
+    assert ids(engine.search(LogQuery("parcel"))) == ["3", "1"]
     assert ids(engine.search(LogQuery("log"))) == []
     assert ids(engine.search(LogQuery(service="db"))) == ["2"]
     assert ids(engine.search(LogQuery(start_ns=150, end_ns=300))) == ["3", "2"]
-    assert ids(engine.search(LogQuery("login", service="auth", start_ns=200, end_ns=400))) == ["3"]
+    assert ids(engine.search(LogQuery("parcel", service="dispatch", start_ns=200, end_ns=400))) == ["3"]
     assert ids(engine.search(LogQuery("level:error OR level:warn"))) == ["3", "2"]
 
 
@@ -138,24 +139,24 @@ def test_federated_search(spark):
 
 
 def test_index_and_blooms_change_no_result(spark):
-    logs = derived(normalise(make(spark, ("1", "", "s1", "ERROR", "database connection failed", 100, {"k": "v"}), ("2", "n", "s2", "INFO", "server started", 500), ("3", "", "s1", "INFO", "database started", 900))))
+    logs = derived(normalise(make(spark, ("1", "", "s1", "ERROR", "pump seal worn", 100, {"k": "v"}), ("2", "n", "s2", "INFO", "pump primed", 500), ("3", "", "s1", "INFO", "seal primed", 900))))
     logs = logs.withColumn("segment", F.concat(F.lit("/seg/"), F.col("id"))).cache()
     args = index.postings(logs), index.label_postings(logs), index.zone_map(logs)
     found = lambda *a, **k: sorted(r.segment for r in index.resolve(*args, *a, **k).collect())
-    assert found(["database"]) == ["/seg/1", "/seg/3"]
-    assert found(["database", "started"]) == ["/seg/3"]
+    assert found(["seal"]) == ["/seg/1", "/seg/3"]
+    assert found(["seal", "primed"]) == ["/seg/3"]
     assert found(["nope"]) == []
     assert found(start_ns=300, end_ns=600) == ["/seg/2"]
     assert found(service="s1") == ["/seg/1", "/seg/3"]
     assert found(namespace="n") == ["/seg/2"]
     assert found() == ["/seg/1", "/seg/2", "/seg/3"]
-    assert index.token_count(args[0]).first().tokens == 5
+    assert index.token_count(args[0]).first().tokens == 4
     left = index.without_segments(args[0], spark.createDataFrame([("/seg/1",)], "segment string"))
-    assert sorted(r.token for r in left.select("token").distinct().collect()) == ["database", "server", "started"]
+    assert sorted(r.token for r in left.select("token").distinct().collect()) == ["primed", "pump", "seal"]
     blooms = index.SegmentBlooms.build(logs)
-    for text, must in (("database", {"/seg/1", "/seg/3"}), ("k:v", {"/seg/1"}), ("level:error", {"/seg/1"}), ("service:s2 AND started", {"/seg/2"}), ("k:", {"/seg/1", "/seg/2", "/seg/3"}), ("zzz OR database", {"/seg/1", "/seg/3"})):
+    for text, must in (("seal", {"/seg/1", "/seg/3"}), ("k:v", {"/seg/1"}), ("level:error", {"/seg/1"}), ("service:s2 AND primed", {"/seg/2"}), ("k:", {"/seg/1", "/seg/2", "/seg/3"}), ("zzz OR seal", {"/seg/1", "/seg/3"})):
         assert must <= set(blooms.candidates(parse(text))), text
-    assert blooms.candidates(parse("database AND qqqqqq")) == []
+    assert blooms.candidates(parse("seal AND qqqqqq")) == []
     logs.unpersist()
 
 
@@ -240,3 +241,32 @@ def test_streaming_ingest_keeps_zero_timestamps_and_drops_replays(spark, engine,
         ingest_stream(file_stream(spark, str(source)), engine, str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.id, r.timestamp_ns) for r in engine.table().collect()) == [("1", 10**18), ("2", 0), ("3", 5)]
     assert nullable_schema().fieldNames() == COLUMNS
+
+
+def test_days_are_cut_in_whole_nanoseconds(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "days"))
+    at = [20000 * DAY_NS - 1, 20000 * DAY_NS, 1, -1, -DAY_NS, -DAY_NS - 1]
+    store.ingest_batch(make(spark, *((str(i), "", "svc", "INFO", "tick", ns) for i, ns in enumerate(at))))
+    days = {r.id: (r.event_date - __import__("datetime").date(1970, 1, 1)).days for r in store.table().select("id", "event_date").collect()}
+    assert [days[str(i)] for i in range(len(at))] == [ns // DAY_NS for ns in at]
+    assert ids(store.search(LogQuery("tick", end_ns=at[0]))) == ["0", "2", "3", "4", "5"]
+    assert ids(store.search(LogQuery("tick", start_ns=at[0], end_ns=at[0]))) == ["0"]
+    assert ids(store.search(LogQuery("tick", start_ns=at[1]))) == ["1"]
+
+
+def test_segments_are_added_never_overwritten(spark, tmp_path):
+    folder = str(tmp_path / "more")
+    for name in ("first", "second"):
+        segments.write_segments(normalise(make(spark, (name, "", "svc", "INFO", name, 1))), folder)
+    (tmp_path / "more" / "_attempt-lost").mkdir()
+    (tmp_path / "more" / "_attempt-lost" / "0").write_bytes(b"cut off")
+    back = segments.read_segments(spark, folder).collect()
+    assert sorted(r.id for r in back) == ["first", "second"] and len({r.segment for r in back}) == 2
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "again"))
+    rows = make(spark, ("", "", "svc", "INFO", "no id", 1), ("", "", "svc", "INFO", "no id", 1), ("own", "", "svc", "INFO", "id", 1))
+    for batch in ("b/0", "b/0", "b/1"):
+        store.ingest_batch(with_stable_ids(rows, batch))
+    assert store.table().count() == 5
