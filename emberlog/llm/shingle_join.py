@@ -488,8 +488,9 @@ def one_per_component(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     comps = staged(_components(ShingleJoin(docs, width)), "join-components")
     kept = staged(comps.where("doc_id is not null and (n_shingles = 0 or component_id = doc_id)").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "join-kept")
-    ids = F.broadcast(kept) if kept.count() * 16 <= SEND_BYTES else kept
-    stay = lambda some: docs.join(ids.where(some), F.col("doc_id") == F.col("__kept"), "left_semi")
+    few = kept.count() * 16 <= SEND_BYTES
+    ids = lambda some: kept.where(some).select("__kept").hint("broadcast" if few else "merge")
+    stay = lambda some: docs.join(ids(some), F.col("doc_id") == F.col("__kept"), "left_semi")
     once = stay("__rows = 1")
     if kept.where("__rows > 1").limit(1).count():
         repeats = Window.partitionBy("doc_id", F.xxhash64(*docs.columns), "text").orderBy(F.lit(1))
