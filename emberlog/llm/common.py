@@ -47,8 +47,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-# Parameters of mallopt in the C library.
-M_MMAP_THRESHOLD, M_ARENA_MAX = -3, -8
 #: What operators keep in a Python worker between tasks, by operator.
 CACHES: dict[str, dict] = {}
 
@@ -64,11 +62,8 @@ def in_arrow(df: DataFrame, run, schema: str, keeps: str = "") -> DataFrame:
             if operator != keeps:
                 cache.clear()
         pa.set_memory_pool(pa.system_memory_pool())
-        libc = ctypes.CDLL(None)
-        trim = getattr(libc, "malloc_trim", None)
-        if trim:  # one arena; blocks of 1 MB or more go back to the machine as they are freed
-            libc.mallopt(M_ARENA_MAX, 1)
-            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
             trim(0)
         for out in run(batches):
             yield out
