@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, partitions, prepare, staged, text_of
+from .common import CACHES, in_arrow, partitions, prepare, staged, text_of
 from .components import components
 
 #: Hash groups of a tile's count vectors: about one for two shingles of its largest set, within these.
@@ -49,18 +49,17 @@ _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B
 
 
 class _Words(dict):
-    """Word to 64-bit hash, filled as words come; bounded by ``trim``."""
+    """Word to 64-bit hash, filled as words come."""
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def trim(self, most: int = 50_000) -> None:
-        if len(self) > most:
-            self.clear()
 
-
-_WORDS = _Words()
+#: A worker's words; ``shingles`` alone touches them, as a task's closure would carry a copy of its own.
+_WORDS = CACHES.setdefault("shingles", _Words())
+#: Words kept from one text to the next.
+KEEP_WORDS = 50_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -76,6 +75,8 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    if len(_WORDS) > KEEP_WORDS:
+        _WORDS.clear()
     span = min(width, len(words))
     out = np.full(len(words) - span + 1, span, np.uint64)
     for i in range(span):
@@ -117,10 +118,8 @@ def _profiles(seed: int, width: int):
                     cells, waiting = [], 0
             if cells:
                 np.add.at(counts, np.concatenate(cells).astype(np.int64), np.uint32(1))
-            _WORDS.trim()
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(proof, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
-        _WORDS.trim(0)
         for piece in range(CELLS // PIECE):
             own = counts[piece * PIECE : (piece + 1) * PIECE]
             if own.any():
@@ -165,7 +164,6 @@ def _routes(shared, seed: int, width: int, routes: int, hot: int):
                 keys.append(key)
                 cids.append(np.full(len(key), cid, np.int64))
                 heat.append(rank > limit)
-            _WORDS.trim()
             if not keys:
                 continue
             key, cid, hot_ = np.concatenate(keys), np.concatenate(cids), np.concatenate(heat)
@@ -176,7 +174,6 @@ def _routes(shared, seed: int, width: int, routes: int, hot: int):
             starts = np.flatnonzero(np.concatenate([[True], tag[1:] != tag[:-1]]))
             ends = np.append(starts[1:], len(tag))
             yield pa.RecordBatch.from_arrays([pa.array((tag[starts] >> 1).astype(np.int32)), pa.array((tag[starts] & 1).astype(bool)), pa.array([pairs[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["route", "hot", "pairs"])
-        _WORDS.trim(0)
 
     return run
 
@@ -426,14 +423,12 @@ class ShingleJoin:
             seen = set()
             for batch in batches:
                 own = [shingles(t, width) for t in batch.column("text").to_pylist()]
-                _WORDS.trim()
                 at = []
                 for i, (x, cid, tile) in enumerate(zip(own, batch.column("cid").to_pylist(), batch.column("tile").to_pylist())):
                     if len(x) and class_key(x, seed) == cid and (cid, tile) not in seen:  # else another row of that doc_id, or a repeated one
                         seen.add((cid, tile))
                         at.append(i)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in names), pa.array([own[i].tobytes() for i in at], pa.binary())], [*names, "own"])
-            _WORDS.trim(0)
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in more)
         found = self.docs.alias("d").join(ids.alias("w"), F.expr("d.doc_id <=> w.r and d.h = w.h")).select("text", *names)

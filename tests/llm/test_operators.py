@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from emberlog.llm import lang_id, line_dedup, mixing, packing, quality_rank, quality_rules, shingle_join, toxicity, url_filter
@@ -512,3 +514,13 @@ def test_url_mining_reaches_long_combinations(spark):
         rows.append((f"http://h{h}.a{h}.b{h}.net/p{h}?{'&'.join(keys)}", "block" if len(keys) == 5 else "allow"))
     rules = {(s, v): x for s, v, x, _ in url_filter.mine(spark.createDataFrame(rows, "url string, verdict string"))}
     assert rules[frozenset("key=" + k for k in "vwxyz"), "block"] == 1.0
+
+
+def test_words_kept_by_a_worker_are_bounded():
+    """Also by a task's function as workers get it, whose globals are copies."""
+    run = cloudpickle.loads(cloudpickle.dumps(shingle_join._profiles(0, 5)))
+    texts = [" ".join(f"w{k}x{i}" for i in range(20_000)) for k in range(6)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "h": pa.array(range(6), pa.int64()), "text": texts})
+    sizes = [n for out in run(iter([batch])) for n in out.column("n").to_pylist() if n is not None]
+    assert sizes == [19_996] * 6
+    assert len(shingle_join._WORDS) <= shingle_join.KEEP_WORDS
