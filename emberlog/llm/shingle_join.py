@@ -13,7 +13,8 @@ Every text is a set of hashed 5-word shingles. Texts with one set form a class;
    pairs whose components have met are skipped. So near copies melt, and a tile sends out one row for each
    component that joined another.
 4. Across: least classes of what is left meet between the tiles of one label, then tiles that share a key
-   whose holders are still of several components meet, with the components carried along.
+   whose holders are still of several components meet, with the components carried along. Keys alone, in blocks of
+   two tiles, tell which of their classes share enough of them to link; only these classes' sets meet in a tree.
 
 No link between components is lost: the order, the bounds and the verification are exact on the hashed sets.
 """
@@ -43,6 +44,8 @@ HOT = 1 << 15
 FAN = 16
 #: Sides up to this many bytes are sent to all executors; larger ones are joined by shuffle.
 SEND_BYTES = 16 << 20
+#: Keys whose holders in two tiles are compared at once.
+KEYS_AT_ONCE = 4096
 #: Bytes of a row of class keys and tile ids, about.
 ROW_BYTES = 96
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -311,6 +314,64 @@ def _tiles(batches):
     yield from solve(held) if held else ()
 
 
+def least_keys(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Keys that sets of n and m shingles must share to link. All shingles of the prefix that ends first which the other
+    set holds are in its prefix too, so the overlap is at most these and what follows that prefix."""
+    return 3 * (n + m) / 7 - 3 * np.maximum(n, m) / 4 - 1e-6
+
+
+def promising(key: np.ndarray, side: np.ndarray, cid: np.ndarray, n: np.ndarray, comp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(cid, comp) of the classes of either side that share keys enough with one of the other side to link with it."""
+    _, at = np.unique(key, return_inverse=True)
+    sides = []
+    for own in (side == 0, side == 1):
+        cids, first, who = np.unique(cid[own], return_index=True, return_inverse=True)
+        order = np.argsort(at[own], kind="stable")
+        sides.append((cids, n[own][first], comp[own][first], at[own][order], who[order]))
+    (_, n0, c0, k0, w0), (_, n1, c1, k1, w1) = sides
+    common = np.zeros((len(n0), len(n1)), np.float32)
+    for low in range(0, int(at.max()) + 1, KEYS_AT_ONCE):
+        held = []
+        for rows, keys, who in ((len(n0), k0, w0), (len(n1), k1, w1)):
+            a, b = np.searchsorted(keys, (low, low + KEYS_AT_ONCE))
+            some = np.zeros((rows, KEYS_AT_ONCE), np.float32)
+            some[who[a:b], keys[a:b] - low] = 1
+            held.append(some)
+        common += held[0] @ held[1].T
+    x, y = n0[:, None], n1[None, :]
+    may = (common >= np.maximum(1, least_keys(x, y))) & (4 * x >= 3 * y) & (4 * y >= 3 * x) & (c0[:, None] != c1[None, :])
+    return [(cids[keep], comps[keep]) for (cids, _, comps, _, _), keep in zip(sides, (may.any(1), may.any(0)))]
+
+
+def _promising(batches):
+    """Rows (pair, side, key, holders), sorted by pair: of each pair of tiles the classes that may link across."""
+
+    def solve(pair, parts):
+        key, side, cid, n, comp = (np.concatenate(x) for x in zip(*parts))
+        if (side == 0).all() or (side == 1).all():
+            return
+        for i, (cids, comps) in enumerate(promising(key, side, cid, n, comp)):
+            if len(cids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cids), pair)), pa.array(np.full(len(cids), i, np.int32)), pa.array(cids), pa.array(comps)], ["pair", "side", "cid", "comp"])
+
+    waiting, now = [], None
+    for batch in batches:
+        pairs, held = batch.column("pair").to_numpy(), batch.column("held")
+        flat, sizes = held.flatten(), held.value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        cid, n, comp = (x.to_numpy() for x in flat.flatten())
+        key, side = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("key", "side"))
+        starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else []
+        for i, start in enumerate(starts):
+            end = starts[i + 1] if i + 1 < len(starts) else len(pairs)
+            if pairs[start] != now:
+                yield from solve(now, waiting) if waiting else ()
+                waiting, now = [], pairs[start]
+            own = slice(ends[start] - sizes[start], ends[end - 1])
+            waiting.append((key[own], side[own], cid[own], n[own], comp[own]))
+    yield from solve(now, waiting) if waiting else ()
+
+
 class ShingleJoin:
     """One run of the join over ``docs``. ``members`` has a row for each document (doc_id, n, cid), ``placed`` one
     for each class that shares a prefix shingle (cid, comp: the least class of its component)."""
@@ -399,13 +460,13 @@ class ShingleJoin:
         odd = tiles.join(most, "key").where("c0 <> main or c1 <> main").select("key", *of("x"))
         meet = odd.join(tiles.select("key", *of("y")), "key").where("x.tile <> y.tile and 4 * x.n1 >= 3 * y.n0 and 4 * y.n1 >= 3 * x.n0 and not (x.c0 = x.c1 and y.c0 = y.c1 and x.c0 = y.c0)")
         meet = meet.select("key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct().withColumn("pair", F.xxhash64("p.tile", "q.tile"))
-        ways = [meet.select("key", F.col(f"{own}.tile").alias("tile"), "pair", F.lit(side).alias("side"), F.col(other).alias("o")) for side, (own, other) in enumerate((("p", "q"), ("q", "p")))]
-        # A holder goes along if the other tile has a holder of the key that it might link with, and if the two share keys enough.
-        going = entries.join(ways[0].unionByName(ways[1]), ["key", "tile"]).where("4 * o.n1 >= 3 * n and 4 * n >= 3 * o.n0 and not (o.c0 = o.c1 and o.c0 = comp)")
-        rows = going.groupBy("pair", "side", "cid", "n", "comp").agg(F.count("*").alias("keys"), F.min("o.n0").alias("n0"), F.max("o.n1").alias("n1")).where(F.col("keys") >= _least_keys())
-        rows = staged(rows.select("pair", "side", "cid", "comp"), "join-across")
-        both = rows.groupBy("pair").agg(F.min("side").alias("s0"), F.max("side").alias("s1")).where("s0 <> s1").select("pair")
-        rows = rows.join(both, "pair").join(placed.select("cid", "rep"), "cid").select("rep", "cid", "comp", F.col("pair").alias("tile"), "side")
+        # A key's holders in a tile travel as one row to each tile that theirs meets, so rows don't grow with holders.
+        ways = [meet.select("key", F.col(f"{own}.tile").alias("tile"), "pair", F.lit(side).alias("side")) for side, own in enumerate("pq")]
+        held = entries.groupBy("key", "tile").agg(F.collect_list(F.struct("cid", "n", "comp")).alias("held"))
+        going = held.join(ways[0].unionByName(ways[1]), ["key", "tile"]).select("pair", "side", "key", "held")
+        going = going.repartition(partitions(self.spark), "pair").sortWithinPartitions("pair")
+        rows = staged(in_arrow(going, _promising, "pair long, side int, cid long, comp long"), "join-across")
+        rows = rows.join(placed.select("cid", "rep"), "cid").select("rep", "cid", "comp", F.col("pair").alias("tile"), "side")
         links = self._solved(self._sets(staged(rows, "join-across")))
         comps = components(links).select("id", F.col("comp").alias("to"))
         return placed.join(comps, F.col("comp") == F.col("id"), "left").select("cid", F.coalesce("to", "comp").alias("comp"))
@@ -440,14 +501,6 @@ def _parts(tile: int):
     return F.ceil(F.greatest(F.count("*") / F.lit(tile), F.sum("n") * 8 / F.lit(TILE_BYTES))).cast("int")
 
 
-def _least_keys():
-    """Keys that a set of n shingles must share with one of n0 to n1 to link with it. All shingles of the prefix that ends
-    first which the other set holds are in its prefix too, so the overlap is at most these and what follows that prefix:
-    keys >= 3(n + m)/7 - 3 max(n, m)/4, least at the smallest or the largest m that is possible."""
-    low, high = F.greatest("n0", F.col("n") * 0.75), F.least("n1", F.col("n") / 0.75)
-    return F.least(*[3 * (F.col("n") + m) / 7 - 3 * F.greatest("n", m) / 4 for m in (low, high)]) - 1e-6
-
-
 def _tile(cid: str, turn: int):
     """Tile id. Tiles or pairs of tiles whose ids happen to be equal are joined as one, which loses nothing."""
     return F.xxhash64(F.lit(turn), "label", F.pmod(F.xxhash64(cid, F.lit(turn)), F.col("parts")))

@@ -524,3 +524,20 @@ def test_words_kept_by_a_worker_are_bounded():
     sizes = [n for out in run(iter([batch])) for n in out.column("n").to_pylist() if n is not None]
     assert sizes == [19_996] * 6
     assert len(shingle_join._WORDS) <= shingle_join.KEEP_WORDS
+
+
+def test_classes_go_across_tiles_if_they_share_keys_enough():
+    draw = np.random.default_rng(5)
+    for _ in range(20):
+        classes = [(i, int(draw.integers(20, 60)), int(draw.integers(0, 12)), set(draw.integers(0, 6000, draw.integers(1, 14)).tolist()) | set(draw.integers(0, 9, 6).tolist())) for i in range(40)]
+        rows = [(k, i % 2, i, n, comp) for i, n, comp, keys in classes for k in keys]
+        draw.shuffle(rows)
+        want = [set(), set()]
+        for i, n, comp, keys in classes[::2]:
+            for j, m, other, theirs in classes[1::2]:
+                least = max(1, 3 * (n + m) / 7 - 3 * max(n, m) / 4 - 1e-6)
+                if comp != other and 4 * n >= 3 * m and 4 * m >= 3 * n and len(keys & theirs) >= least:
+                    want[0].add(i), want[1].add(j)
+        got = shingle_join.promising(*(np.array(x) for x in zip(*rows)))
+        assert [set(cids.tolist()) for cids, _ in got] == want
+        assert all(classes[c][2] == comp for cids, comps in got for c, comp in zip(cids.tolist(), comps.tolist()))
