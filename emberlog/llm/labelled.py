@@ -1,4 +1,4 @@
-"""What the two document classifiers share: the bounded labelled sample, and scoring of whole tables."""
+"""The bounded labelled sample of a document classifier, and scoring of whole tables."""
 
 from __future__ import annotations
 

@@ -431,6 +431,40 @@ def test_classifiers(spark, docs, none, operator, label, least, size):
     assert operator(none, labels).collect() == []
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh,.", k=rng.randrange(1, 12))) for _ in range(rng.randrange(3, 9))), int(rng.random() < 0.4)) for i in range(14000)]
+    table_ = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality_rank.rank_quality(table_.drop("quality"), table_.drop("text")).toPandas()
+    first = [zlib.crc32(str(d).encode()) % 5 == 1 for d in out.doc_id]
+    labels_ = {d: q for d, _, q in rows}
+    # All of the fold that sets the threshold counts: as many are predicted as are labelled.
+    assert abs(out.predicted[first].sum() - sum(labels_[d] for d in out.doc_id[first])) <= 3
+
+
+def test_quality_fit_equals_brute_force_over_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(400, quality_rank.FEATURES)) * 10.0 ** rng.integers(-3, 4, quality_rank.FEATURES)).astype("<f4")
+    x[:, 3], x[:, 5] = np.round(x[:, 3]), 0
+    fold, label = np.arange(400) % 4 + 1, (x[:, 0] / x[:, 0].std() + rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(int(f), int(y), r.tobytes()) for f, y, r in zip(fold, label, x)], "fold int, label int, x binary").repartition(5).cache()
+    model = quality_rank.fit(rows)
+    learn, held = fold != 1, fold == 1
+    edges = np.quantile(x[learn], np.linspace(0, 1, 13)[1:-1], axis=0, method="higher").T
+    assert np.array_equal(model.edges, edges)
+    z, (good, bad) = quality_rank.expand(x.astype(float), edges), (np.flatnonzero(learn & (label == y)) for y in (1, 0))
+    difference, weights = (z[good][:, None] - z[bad]).reshape(-1, z.shape[1]), np.zeros(z.shape[1])
+    unit = 6 * max(len(good), len(bad)) / len(difference)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(difference @ weights))
+        curve = unit * (difference * (p * (1 - p))[:, None]).T @ difference + 2 * np.eye(len(weights))
+        weights += np.linalg.solve(curve, unit * difference.T @ p - 2 * weights)
+    assert np.abs(model.weights - weights).max() < 0.01
+    raw = z[held] @ model.weights
+    assert (raw >= model.threshold).sum() == label[held].sum() and np.isclose(model.scale, raw.std() / 2, atol=1e-4)
+    assert np.array_equal(quality_rank.fit(rows.repartition(3)).weights, model.weights)
+
+
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
