@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import gc
 import re
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,10 @@ from .common import CACHES, in_arrow, text_of
 END_ID = 1
 #: Bound on each cache of one Python worker.
 CACHE_CHUNKS = 200_000
+#: ASCII characters that are neither letters, digits nor white space; without the apostrophe, which may begin a piece.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _WORKER = CACHES.setdefault("packing", {})
-_UNEVEN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,9 +41,10 @@ def _byte_letters() -> dict[int, str]:
 
 class ChunkEncoder:
     """Token ids as little-endian uint32 bytes. A byte-level vocabulary never merges across a single space
-    between two non-space characters, so texts are cut there and equal chunks are encoded once; new chunks
-    are cut into the vocabulary's own pieces, which its model encodes once as well. Texts that hold an added
-    token go through the tokenizer whole; with ``encode_special_tokens``, special ones are read as plain text."""
+    between two non-space characters, nor across a single line break there, so texts are cut at both and equal
+    chunks are encoded once; new chunks are cut into the vocabulary's own pieces, and words are looked up without the
+    marks that end them. Texts that hold an added token go through the tokenizer whole; with
+    ``encode_special_tokens``, special ones are read as plain text."""
 
     def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
@@ -56,31 +58,58 @@ class ChunkEncoder:
         whole.encode_special_tokens = encode_special_tokens
         self.whole = whole
         self.added = [t.content for t in whole.get_added_tokens_decoder().values() if not (t.special and encode_special_tokens)]
+        self.packs = [Struct(f"<{n}I").pack for n in range(64)]
+        self.space, self.line = self.letters[0x20], self._piece(self.letters[0x0A])
+        self.marks = {m: self._piece(m) for m in MARKS}
+        #: Ids of chunks, with the space before them unless they begin with a line break; and of those cached before.
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """All but the first chunk without the space that begins them."""
-        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, mapped: str) -> bytes:
-        ids = self.pieces.get(mapped)
-        if ids is None:
-            ids = self.pieces[mapped] = pack(f"<{len(found := self.model.tokenize(mapped))}I", *[t.id for t in found])
-        return ids
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return self.packs[len(ids)](*ids) if len(ids) < 64 else pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Letters with the space before them."""
+        return self._piece(self.space + (word if word.isascii() else self._mapped(word)))
 
     def _mapped(self, piece: str) -> str:
         return piece.encode("utf-8").decode("latin-1").translate(self.letters)
 
-    def _chunk(self, chunk: str) -> bytes:
-        # Letters, or letters and one mark, are one piece or two; anything else is cut by the vocabulary's rule.
-        word = chunk.removeprefix(" ")
+    def _marks(self, tail: str) -> bytes:
+        return self.marks.get(tail) or self._piece(tail)
+
+    def _bare(self, text: str) -> bytes:
+        """Any text without a cache."""
+        # Letters, and marks after them, are one piece each; anything else is cut by the vocabulary's rule.
+        word = text.rstrip(MARKS)
         if word.isalpha():
-            return self._piece(self._mapped(chunk))
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return self._piece(self._mapped(chunk[:-1])) + self._piece(word[-1])
-        return b"".join(self._piece(piece) for piece, _ in self.split(chunk))
+            ids = self._piece(self._mapped(word))
+            return ids + self._marks(text[len(word) :]) if len(word) < len(text) else ids
+        return b"".join([self._piece(piece) for piece, _ in self.split(text)])
+
+    def _learn(self, new: set[str]) -> set[str]:
+        """Put new chunks into the cache; those returned begin or end with white space, so that texts can't be cut there."""
+        cache, older, uncut = self.cache, self.older, set()
+        for chunk in new:
+            ids = older.get(chunk)
+            if ids is None:
+                if chunk.isalpha():
+                    ids = self._word(chunk)
+                elif (word := chunk.rstrip(MARKS)).isalpha():
+                    ids = cache.get(word) or older.get(word)
+                    if ids is None:
+                        ids = cache[word] = self._word(word)
+                    ids += self._marks(chunk[len(word) :])
+                else:
+                    broken = chunk[:1] == "\n"
+                    rest = chunk[1:] if broken else chunk
+                    if not rest or rest[0].isspace() or rest[-1].isspace():
+                        uncut.add(chunk)
+                        continue
+                    ids = self.line + self._bare(rest) if broken else self._bare(" " + rest)
+            cache[chunk] = ids
+        return uncut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not any(a in t for a in self.added for t in texts):
@@ -94,17 +123,27 @@ class ChunkEncoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        for cache in (self.cache, self.pieces):
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-        firsts = [self._chunk(chunks.pop(0)) for chunks in cut]
+        if len(self.cache) > CACHE_CHUNKS:
+            self.older, self.cache = self.cache, {}
         gc.disable()  # millions of small strings and no cycles
-        for chunk in [c for c in set().union(*cut) if c not in self.cache]:
-            self.cache[chunk] = self._chunk(" " + chunk)
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        firsts = [chunks.pop(0) for chunks in cut]
+        uncut = self._learn(set().union(*cut).difference(self.cache))
+        get, out = self.cache.__getitem__, []
+        for text, first, chunks in zip(texts, firsts, cut):
+            if first[-1:].isspace() or uncut and not uncut.isdisjoint(chunks):
+                out.append(self._uneven(text))
+            else:
+                out.append(self._bare(first) + b"".join(map(get, chunks)))
         gc.enable()
-        get = self.cache.__getitem__
-        return [first + b"".join(map(get, chunks)) for first, chunks in zip(firsts, cut)]
+        return out
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with more white space than single spaces and line breaks; its ends aren't cached."""
+        first, *chunks = _CUT.split(text)
+        last = self._bare(" " + chunks.pop()) if chunks else b""
+        self._learn(set(chunks).difference(self.cache))
+        return self._bare(first) + b"".join(map(self.cache.__getitem__, chunks)) + last
 
 
 def encoder(path: str) -> ChunkEncoder:

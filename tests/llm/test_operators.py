@@ -204,6 +204,24 @@ def test_packing_encoder_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_cuts_words_from_marks_and_lines(monkeypatch):
+    from tokenizers import Tokenizer
+
+    model, own, calls = Tokenizer.from_file(vocabulary()), packing.ChunkEncoder(vocabulary(), encode_special_tokens=False), []
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
+    split = own.split
+    own.split = lambda piece: calls.append(piece) or split(piece)
+    plain = ["one two, three$$$\nFour five!! six.\nSEVEN (", "Étè##\nTwo &&& ça;\nend"]
+    rng = random.Random(8)
+    odd = ["".join(rng.choices([" ", " ", "\n", "\t", "\u3000", "\x1c", "a", "be", "É", "7", ".", "$$", "'s", "_", "漢", "e\u0301", "²"], k=rng.randrange(12))) for _ in range(3000)]
+    for texts in (plain, *(odd[i : i + 20] for i in range(0, 3000, 20))):
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+        if texts is plain:
+            # Words beside marks and line breaks are cut without the vocabulary's costly rule.
+            assert {c.strip() for c in calls} <= {"(", "&&&"}
+
+
 def test_packing_reads_added_tokens(spark):
     from tokenizers import Tokenizer
 
